@@ -29,14 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.common import cut_lineage
+from quarryline.llm.common import LONG, STRING, cut_lineage, record
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of public chat templates; texts may hold them only escaped.
 CONTROLS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 CONTROL = re.compile("(?=(?:" + "|".join(map(re.escape, CONTROLS)) + "))(.)")
-TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n((?:[^\\]|\\.)*?)<\|im_end\|>\n", re.DOTALL)
+ROLE = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*+)\n", re.DOTALL)
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -64,21 +65,22 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     """The inverse of ``format_turns``; fails on a text that it didn't write."""
     turns, at = [], 0
     while at < len(formatted):
-        m = TURN.match(formatted, at)
-        if not m:
+        head = ROLE.match(formatted, at)
+        stop = formatted.find(END + "\n", head.end()) if head else -1
+        if stop < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(head[1]), unescape(formatted[head.end() : stop])))
+        at = stop + len(END) + 1
     return turns
 
 
-@F.pandas_udf("formatted string, loss_spans array<struct<start:int,stop:int>>")
+@F.pandas_udf(record(formatted=STRING, loss_spans=T.ArrayType(record(start=LONG, stop=LONG))))
 def written(turns: pd.Series) -> pd.DataFrame:
     out = [format_turns([(t["role"], t["text"]) for t in row]) for row in turns]
     return pd.DataFrame({"formatted": [x[0] for x in out], "loss_spans": [[{"start": a, "stop": b} for a, b in x[1]] for x in out]})
 
 
-@F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+@F.pandas_udf(record(n_turns=LONG, turns_sha256=STRING, loss_chars=LONG, loss_sha256=STRING, formatted_chars=LONG))
 def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """Digests of what a reader finds in the stored text and mask."""
     rows = []

@@ -7,11 +7,23 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+LONG, DOUBLE, STRING = T.LongType(), T.DoubleType(), T.StringType()
+
+
+def record(**kinds: T.DataType) -> T.StructType:
+    """A struct type of these fields.
+
+    Workers import the modules where no session is active, so the result types
+    of module-level Arrow functions are objects and not strings to be parsed.
+    """
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

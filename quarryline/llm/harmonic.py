@@ -26,7 +26,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,10 +77,14 @@ class Tokens:
             self.size[i] = len(token)
         self.tokenizer, self.special, self.kept = tokenizer, special, {}
 
-    def exact(self, text: str) -> bytes:
+    @cached_property
+    def file(self):
         from tokenizers import Tokenizer
 
-        return np.array(Tokenizer.from_file(self.tokenizer).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return Tokenizer.from_file(self.tokenizer)
+
+    def exact(self, text: str) -> bytes:
+        return np.array(self.file.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
@@ -202,7 +206,7 @@ def pack(docs: DataFrame, ranks: str, tokenizer: str, text: str = "text", doc_id
     done = done.withColumn("offset", F.when(last, F.col("slot") - run_start).otherwise(F.col("slot")) * F.col("length"))
     left = rows.where((F.col("bin") >= F.col("bins")) & ~power_of_two)
     # Fewer than CAPACITY tokens of each class under GRAIN tokens a piece, whatever the input.
-    placed = left.select("class", "task", "n", "length").groupBy(F.lit(0)).applyInPandas(next_fit, "class int, task int, n long, bin long, offset long")
+    placed = left.select("class", "task", "n", "length", F.lit(0).alias("all")).groupBy("all").applyInPandas(next_fit, "class int, task int, n long, bin long, offset long")
     left = left.drop("bin").join(F.broadcast(placed), ["class", "task", "n"])
     left = left.withColumn("sequence_id", F.lit(LEFTOVER_CLASS << BIN_BITS) + F.col("bin"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "row"] + ["ids"] * with_ids

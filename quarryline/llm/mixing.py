@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import WORD, attach, cut_lineage
+from quarryline.llm.common import STRING, WORD, attach, cut_lineage
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -154,14 +154,15 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         start = F.col("begin") + F.col("source_size") * e
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - start))
         owner = blocks.select("source_rank", F.col("block").alias(f"block{e}"), F.col("shard").alias(f"shard{e}"))
-        rows = rows.withColumn(f"words{e}", words).withColumn(f"block{e}", F.when(words > 0, F.floor(start / BLOCK_WORDS)))
+        # Rows without words here match no block; their own bucket spreads them over the join.
+        rows = rows.withColumn(f"words{e}", words).withColumn(f"block{e}", F.when(words > 0, F.floor(start / BLOCK_WORDS)).otherwise(-1 - F.col("bucket")))
         rows = rows.join(owner, ["source_rank", f"block{e}"], "left").withColumn(f"words{e}", F.when(F.col(f"shard{e}").isNull(), F.lit(0)).otherwise(F.col(f"words{e}")))
     taken = sum((F.col(f"words{e}") for e in range(MOST)), F.lit(0)).cast("long")
     readings = {"shards": F.array(*(F.col(f"shard{e}") for e in range(MOST))), "words": F.array(*(F.col(f"words{e}") for e in range(MOST)))}
     return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *(v.alias(k) for k, v in readings.items()), *names)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def cut_to_words(texts: pd.Series, words: pd.Series) -> pd.Series:
     """The text up to the end of its n-th word, with the white space between as it is."""
     word = re.compile(WORD)

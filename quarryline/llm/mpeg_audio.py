@@ -28,6 +28,9 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarryline.llm.common import DOUBLE, LONG, STRING, record
 
 #: Fixed values of the format: kbit/s by index for Layer III, sample rates by index.
 BIT_RATES = {3: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], 2: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
@@ -158,9 +161,10 @@ SYNC = re.compile(rb"\xff[\xe0-\xff]")
 def read_stream(data: bytes) -> Reading:
     out = Reading()
     out.tags, at = read_tag(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    free, locked = [], False
+    end, free, locked = len(data), [], False
     while at + 4 <= end:
+        if at == end - 128 and data.startswith(b"TAG", at):  # an ID3v1 tag, as no frame covers it
+            break
         header = read_header(data[at : at + 4])
         follows = at + (header.length if header else 0)
         # A frame counts if it ends at the end or before another header; once in step, each follows the last.
@@ -203,13 +207,16 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
 
 
-@F.pandas_udf("n_bytes long, media binary")
+@F.pandas_udf(record(n_bytes=LONG, media=T.BinaryType()))
 def store(texts: pd.Series) -> pd.DataFrame:
     out = [payload_of(t) for t in texts]
     return pd.DataFrame({"n_bytes": [n for n, _ in out], "media": [write_stream(p) for _, p in out]})
 
 
-PROBE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_ms double, n_frames long, frame_offsets array<long>, bad_checksums long"
+PROBE = record(
+    payload_bytes=LONG, payload_sha256=STRING, tail_crc32=LONG, media_bytes=LONG, media_sha256=STRING, feature=STRING,
+    duration_ms=DOUBLE, n_frames=LONG, frame_offsets=T.ArrayType(LONG), bad_checksums=LONG,
+)
 
 
 @F.pandas_udf(PROBE)
@@ -223,7 +230,7 @@ def probe(media: pd.Series) -> pd.DataFrame:
         feature = f"mpeg1-l3 samples={r.samples} rate={r.rate} frames={len(r.offsets)} table={'ok' if exact else 'bad'} rates={','.join(map(str, sorted(r.bit_rates)))} bad_crc={r.bad_checksums} skipped={r.skipped} last={r.offsets[-1] if r.offsets else -1}"
         duration = 1000 * r.samples / r.rate if r.rate else 0.0
         rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, duration, len(r.offsets), r.offsets, r.bad_checksums))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in PROBE.split(", ")])
+    return pd.DataFrame(rows, columns=PROBE.names)
 
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -234,6 +241,6 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def probed(rows: DataFrame) -> DataFrame:
     """Rows with a media column, read back."""
-    names = [c.split()[0] for c in PROBE.split(", ")]
+    names = PROBE.names
     own = [F.col(f"`{c}`") for c in rows.columns if c not in names]
     return rows.select(*own, probe(F.col("media")).alias("__read")).select(*own, "__read.*")

@@ -27,8 +27,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.common import attach, cut_lineage, hash_share
+from quarryline.llm.common import DOUBLE, attach, cut_lineage, hash_share
 
 #: The logistic model sees at most about this many labelled documents.
 FIT_ROWS = 20_000
@@ -59,7 +60,7 @@ def features(text: str) -> tuple[float, ...]:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(DOUBLE))
 def feature_vector(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: features(t or ""))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import cut_lineage
+from quarryline.llm.common import LONG, cut_lineage
 
 RADIUS = 2
 SHINGLE = 3
@@ -67,7 +67,7 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LONG)
 def fingerprint(texts: pd.Series) -> pd.Series:
     """The SimHash as a signed long with the same bits."""
     return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
