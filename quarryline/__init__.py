@@ -1 +1 @@
-"""Document-retrieval analytics on Spark."""
+"""Spark-native analytics over governed document collections."""
