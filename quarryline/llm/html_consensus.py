@@ -64,7 +64,7 @@ class Tree(HTMLParser):
     """A forgiving tree of one page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=False)
+        super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", "", None, False)
         self.depth = 0
 
@@ -121,12 +121,6 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
-    def handle_entityref(self, name: str) -> None:
-        self.at.children.append(unescape(f"&{name};"))
-
-    def handle_charref(self, name: str) -> None:
-        self.at.children.append(unescape(f"&#{name};"))
-
 
 def parsed(html: str | None) -> Node:
     tree = Tree()
