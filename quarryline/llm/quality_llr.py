@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,30 +48,45 @@ def window_hashes(words: Column, n: int) -> Column:
     return F.slice(starts, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
-def rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    steps = docs.withColumn("__words", words_of(F.col(text)))
-    steps = steps.withColumn("__windows", window_hashes(F.col("__words"), WINDOW))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A filter on a result is pushed below the columns that it was built from,
+    which would copy every one of them into its users, and those again; bound to
+    a lambda's variable, a value stays one.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(windows: Column) -> Column:
+    """Words inside windows whose hash occurs twice or more."""
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    same = lambda s, x, k: (F.get(s, k + 1)["h"] == x["h"]) | ((k > 0) & (F.get(s, F.greatest(k - 1, F.lit(0)))["h"] == x["h"]))
+    again = lambda s: F.array_sort(F.transform(F.filter(s, lambda x, k: same(s, x, k)), lambda x: x["i"]))
+    new_words = lambda a: F.transform(a, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(a, k + 1) - i, F.lit(WINDOW))))
+    counted = lambda s: let(again(s), lambda a: F.aggregate(new_words(a), F.lit(0), lambda acc, x: acc + x))
+    # Most texts repeat no window and need no sorting.
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    return F.when(repeats, let(F.array_sort(placed), counted)).otherwise(0).cast("long")
+
+
+def rule_values(text: Column, words: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; ``words`` is bound."""
+    whole = F.coalesce(text, F.lit(""))
+    n_words = F.size(words).cast("long")
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD))
-    steps = steps.withColumn("__lines", lines)
-    steps = steps.withColumn("__repeats", F.size(F.array_distinct("__windows")) < F.size("__windows"))
-    placed = F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    steps = steps.withColumn("__sorted", F.when(F.col("__repeats"), F.array_sort(placed)))
-    s = F.col("__sorted")
-    again = F.filter(s, lambda x, k: (F.get(s, k + 1)["h"] == x["h"]) | ((k > 0) & (F.get(s, F.greatest(k - 1, F.lit(0)))["h"] == x["h"])))
-    steps = steps.withColumn("__again", F.array_sort(F.transform(again, lambda x: x["i"])))
-    a = F.col("__again")
-    covered = F.aggregate(F.transform(a, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(a, k + 1) - i, F.lit(WINDOW)))), F.lit(0), lambda acc, x: acc + x)
-    out = {
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(whole, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    }
-    steps = steps.withColumns(out).drop("__windows", "__lines", "__repeats", "__sorted", "__again")
-    return steps.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+
+    def values(repeated: Column) -> Column:
+        return F.struct(
+            n_words.alias("n_words"),
+            F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
+            (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            repeated.alias("n_repeat_words"),
+            ((n_words < MIN_WORDS) | (100 * repeated > MOST_REPEATED * n_words)).alias("base_failed"),
+        )
+
+    return let(let(window_hashes(words, WINDOW), repeated_words), values)
 
 
 def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
@@ -99,10 +115,19 @@ def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the rule columns, llr and kept."""
     outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    own = [c for c in docs.columns if c not in outputs]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in outputs]
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    ruled = rules(docs.select(*(F.col(f"`{c}`") for c in own)), text)
-    ruled = ruled.withColumn("__buckets", buckets_of(F.col("__words"), len(ratios)))
-    total = F.aggregate("__buckets", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    ruled = ruled.withColumn("llr", F.when(F.size("__buckets") > 0, total / F.size("__buckets")).otherwise(0.0))
-    return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*(F.col(f"`{c}`") for c in own), *outputs)
+
+    def mean_ratio(grams: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+
+    def verdict(rules: Column, llr: Column) -> Column:
+        values = [rules[c].alias(c) for c in outputs[:6]]
+        return F.struct(*values, llr.alias("llr"), (~rules["base_failed"] & (llr >= threshold)).alias("kept"))
+
+    def judged(words: Column) -> Column:
+        llr = let(buckets_of(words, len(ratios)), mean_ratio)
+        return let(rule_values(F.col(text), words), lambda rules: let(llr, lambda value: verdict(rules, value)))
+
+    return docs.select(*own, let(words_of(F.col(text)), judged).alias("__verdict")).select(*own, "__verdict.*")
