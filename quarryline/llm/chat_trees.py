@@ -127,7 +127,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     members = leaves.select("tree", F.col("node").alias("leaf"), "node", "length", "path_score", F.col("length").alias("place"))
     for k in reversed(range(len(steps))):  # every height is one sum of powers of two
         hop = members.join(steps[k], ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), "length", "path_score", (F.col("place") - 2**k).alias("place"))
-        members = members.unionByName(hop)
+        members = cut_lineage(members.unionByName(hop))  # else every step doubles the plan
     roots = members.where("place = 1").select("tree", "leaf", F.col("node").alias("root"), "path_score")
     order = F.row_number().over(W.partitionBy("tree", "root").orderBy(F.desc("path_score"), "leaf"))
     best = roots.withColumn("rank", order).where(F.col("rank") <= branches).select("tree", "leaf", "root", "rank")
