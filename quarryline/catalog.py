@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarryline.queries import conversations, documents, operations, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+AREAS = [retrieval.R, documents.R, conversations.R, operations.R]
+QUERIES = {name: query for area in AREAS for name, query in area.queries.items()}
+ORACLES = {name: sql for area in AREAS for name, sql in area.oracles.items()}
 FLAGSHIP = "retrieve"

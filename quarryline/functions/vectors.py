@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 UNROLLED = 128
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -27,8 +34,9 @@ def dot(a: Column, b: Column, size: int | None = None) -> Column:
     return _sum(lambda x, y: x * y, a, b, size)
 
 
-def norm(a: Column, size: int | None = None) -> Column:
-    return F.sqrt(dot(a, a, size))
+def norm(a: Column) -> Column:
+    """Folded: once per row, and unrolled it would fill the method that a search's dot product needs."""
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
 def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column, size: int | None = None) -> Column:
@@ -61,19 +69,20 @@ def hash_embedding(text: Column, dimension: int, normalize: bool = True) -> Colu
     vector = F.array(*values[:dimension])
     if not normalize:
         return vector
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+    scaled = lambda v, length: F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    return let(vector, lambda v: let(norm(v), lambda length: scaled(v, length)))
 
 
 def vector_errors(vector: Column, dimension: int) -> Column:
     """Names of what is wrong with an embedding, empty if nothing."""
-    v = doubles(vector)
-    empty = vector.isNull() | (F.size(vector) == 0)
-    bad = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    zero = F.forall(v, lambda x: x == 0.0)
-    found = F.array(
-        F.when(F.size(vector) != dimension, "wrong_dimension"),
-        F.when(bad, "non_finite_value"),
-        F.when(zero, "zero_vector"),
-    )
-    return F.when(empty, F.array(F.lit("empty_vector"))).otherwise(F.array_compact(found))
+
+    def errors(v: Column) -> Column:
+        bad = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+        found = F.array(
+            F.when(F.size(v) != dimension, "wrong_dimension"),
+            F.when(bad, "non_finite_value"),
+            F.when(F.forall(v, lambda x: x == 0.0), "zero_vector"),
+        )
+        return F.when(v.isNull() | (F.size(v) == 0), F.array(F.lit("empty_vector"))).otherwise(F.array_compact(found))
+
+    return let(doubles(vector), errors)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -148,21 +149,24 @@ def section_drafts(view: dict, policy: ChunkPolicy) -> list[dict]:
     return [place | {"body": "\n\n".join(b["text"] for b in g)} | {f"contains_{k}": any(b["kind"] == k for b in g) for k in ("table", "code", "image")} for g in groups]
 
 
-def drafts(views: Column, policy: ChunkPolicy) -> Column:
-    """Array of chunk drafts; unknown strategies count as semantic."""
-    if policy.strategy == "recursive" and policy.overlap >= policy.chars:
-        raise ValueError("the overlap must be smaller than the chunk size")
+def cut_views(policy: ChunkPolicy, key: str):
+    """Rows of (key, known_sections, views) as rows of drafts."""
+    names = [key, "known_sections", "position", *DRAFT.names]
 
-    @F.pandas_udf(T.ArrayType(DRAFT))
-    def cut_up(column: pd.Series) -> pd.Series:
-        return column.map(lambda vs: [d for v in vs for d in section_drafts(v, policy)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for owner, known, views in zip(rows[key], rows["known_sections"], rows["views"], strict=True):
+                made = (d for v in views for d in section_drafts(v, policy))
+                out += [(owner, known, i, *map(d.get, DRAFT.names)) for i, d in enumerate(made)]
+            yield pd.DataFrame(out, columns=names)
 
-    return cut_up(views)
+    return run
 
 
 def chunk_errors(policy: ChunkPolicy) -> Column:
     """Names of a draft's failures; tables and code may pass the limit."""
-    known = F.exists("sections", lambda s: s["section_id"] == F.col("section_id")) | F.col("section_id").isNull()
+    known = F.array_contains("known_sections", F.col("section_id")) | F.col("section_id").isNull()
     return F.array_compact(F.array(
         F.when(is_blank(F.col("content")), "empty_content"),
         F.when(is_blank(F.col("section_title")) | is_blank(F.col("breadcrumb")), "missing_metadata"),
@@ -172,13 +176,16 @@ def chunk_errors(policy: ChunkPolicy) -> Column:
 
 
 def draft_rows(docs: DataFrame, policy: ChunkPolicy = ChunkPolicy(), key: str = "document_id") -> DataFrame:
-    """One row per draft with content, token_count, content_hash and errors; ``docs`` carries structure."""
-    made = docs.select(key, "sections", drafts(views(), policy).alias("drafts"))
-    rows = made.select(key, "sections", F.posexplode("drafts").alias("position", "draft")).select(key, "sections", "position", "draft.*")
+    """One row per draft with content, token_count, content_hash and errors; ``docs`` carries structure; unknown strategies count as semantic."""
+    if policy.strategy == "recursive" and policy.overlap >= policy.chars:
+        raise ValueError("the overlap must be smaller than the chunk size")
+    shown = docs.select(key, F.transform("sections", lambda s: s["section_id"]).alias("known_sections"), views().alias("views"))
+    schema = T.StructType([shown.schema[key], T.StructField("known_sections", T.ArrayType(_S)), T.StructField("position", _I), *DRAFT.fields])
+    rows = shown.mapInPandas(cut_views(policy, key), schema)
     prefix = F.concat(F.lit("> Context: "), F.col("breadcrumb"), F.lit("\n\n")) if policy.breadcrumb else F.lit("")
     rows = rows.withColumn("content", F.concat(prefix, F.col("body"))).drop("body")
     rows = rows.withColumn("token_count", word_count(F.col("content"))).withColumn("content_hash", F.concat(F.lit("sha256:"), sha256(F.col("content"))))
-    return rows.withColumn("errors", chunk_errors(policy)).drop("sections")
+    return rows.withColumn("errors", chunk_errors(policy)).drop("known_sections")
 
 
 def split_failures(rows: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:

@@ -129,7 +129,7 @@ def status_board(documents: DataFrame, assets: DataFrame, jobs: DataFrame, now:
     )
     queued = job == "queued"
     line = F.row_number().over(W.partitionBy(F.coalesce(queued, F.lit(False))).orderBy(F.desc("job.priority"), F.asc_nulls_last("job.available_at"), "job.created_at", "document_id"))
-    due = F.greatest(F.lit(0), F.unix_seconds(F.col("job.available_at")) - F.unix_seconds(now))
+    due = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col("job.available_at")) - F.unix_micros(now)) / 1_000_000))
     out = rows.select(
         "document_id", file_name(F.col("source_path")).alias("name"), status.alias("board_status"), done.alias("stages_done"), stage_marks(F.col("stages")).alias("marks"),
         job.alias("job_status"), F.coalesce("job.attempts", F.lit(0)).alias("job_attempts"),

@@ -56,7 +56,8 @@ def language(text: Column, default: str = "en") -> Column:
     """The first character of a settling script decides; else the language with most frequent words, the first of equals."""
     script = F.regexp_extract(text, f"({SCRIPT})", 1)
     found = F.transform(F.regexp_extract_all(text, F.lit(LANGUAGE_WORD), F.lit(0)), F.lower)
-    hits = {k: F.size(F.filter(found, lambda w, words=words: w.isin(*words))) for k, words in LANGUAGE_WORDS.items()}
+    count = lambda words: F.size(F.filter(found, lambda w: w.isin(*words)))
+    hits = {k: count(words) for k, words in LANGUAGE_WORDS.items()}
     most = F.greatest(*hits.values())
     by_script = [(script.rlike(pattern), code) for code, pattern in SCRIPTS.items()]
     return first_of(by_script + [(most == 0, default)] + [(n == most, code) for code, n in hits.items()], default)
@@ -74,7 +75,7 @@ def digits_of(match: Column) -> Column:
 def card_count(text: Column, shortest: int = 13, longest: int = 19) -> Column:
     """Card numbers that pass the Luhn check."""
     found = F.transform(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), digits_of)
-    return F.size(F.filter(found, lambda d: F.length(d).between(shortest, longest) & F.luhn_check(d)))
+    return F.size(F.filter(found, lambda d: F.length(d).between(shortest, longest) & F.call_function("luhn_check", d)))
 
 
 def sensitive_counts(text: Column) -> dict[str, Column]:

@@ -8,9 +8,16 @@ runs as one plan; results carry query_id and a rank from 0.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarryline.functions import vectors as V
 from quarryline.functions.text import is_blank
@@ -115,8 +122,8 @@ def vector_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, size:
     rows = corpus.where("vector IS NOT NULL").withColumn("vector", V.doubles(F.col("vector")))
     if size:
         rows = rows.where(F.size("vector") == size)
-    rows = rows.withColumn("norm", V.norm(F.col("vector"), size))
-    asked = queries.withColumn("q_vector", V.doubles(F.col("q_vector"))).withColumn("q_norm", V.norm(F.col("q_vector"), size))
+    rows = rows.withColumn("norm", V.norm(F.col("vector")))
+    asked = queries.withColumn("q_vector", V.doubles(F.col("q_vector"))).withColumn("q_norm", V.norm(F.col("q_vector")))
     joined = rows.join(few(asked), visible_to_queries(rows))
     if filters:
         joined = joined.where(matches(corpus, F.col(filters)))
@@ -129,7 +136,7 @@ def best_vectors(corpus: DataFrame, vector: list[float], limit: int = 10) -> Dat
     size = len(vector)
     given = F.array(*(F.lit(float(x)) for x in vector))
     rows = corpus.where(F.size("vector") == size).withColumn("vector", V.doubles(F.col("vector")))
-    score = V.cosine(F.col("vector"), given, V.norm(F.col("vector"), size), V.norm(given, size), size)
+    score = V.cosine(F.col("vector"), given, V.norm(F.col("vector")), F.lit(math.sqrt(sum(x * x for x in vector))), size)
     best = rows.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "document_id", "chunk_id").limit(limit)
     return best.withColumn("score", V.clamp(F.col("score")))
 
@@ -138,16 +145,74 @@ def query_terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
+class TermIndex:
+    """Which terms of which queries a text holds, found in one pass over the text whatever their number.
+
+    Terms are substrings, so no word index of the corpus would do.
+    """
+
+    def __init__(self, queries: list[tuple[object, list[str]]]):
+        import ahocorasick
+
+        self.automaton, self.ids = ahocorasick.Automaton(), [q for q, _ in queries]
+        places: dict[str, list[int]] = {}
+        for place, (_, terms) in enumerate(queries):
+            for term in terms:  # a repeated term counts again
+                places.setdefault(term, []).append(place)
+        self.places = [np.array(p) for p in places.values()]
+        for i, term in enumerate(places):
+            self.automaton.add_word(term, i)
+        self.automaton.make_automaton()
+
+    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries with a hit, and their hits."""
+        found = {i for _, i in self.automaton.iter(text)}
+        counts = np.bincount(np.concatenate([self.places[i] for i in found]), minlength=len(self.ids)) if found else np.zeros(0, np.int64)
+        where = np.flatnonzero(counts)
+        return where, counts[where]
+
+
+def _term_hits(queries: list[tuple[object, list[str]]], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = TermIndex(queries)
+        for batch in batches:
+            rows, places, hits = [], [], []
+            for i, text in enumerate(batch.column("lowered").to_pylist()):
+                where, counts = index.hits(text)
+                rows.append(np.full(len(where), i))
+                places.append(where)
+                hits.append(counts)
+            if not rows:
+                continue
+            which, place = pa.array(np.concatenate(rows)), np.concatenate(places)
+            own = [batch.column(n).take(which) for n in schema.names[:-2]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([index.ids[p] for p in place], schema.field("query_id").type), pa.array(np.concatenate(hits), pa.int64())], schema.names)
+
+    return run
+
+
 def keyword_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, filters: str | None = None) -> DataFrame:
-    """Share of each query's ``terms`` (repeats count) that the lower-cased content holds; no terms find nothing."""
-    rows = corpus.withColumn("lowered", F.lower(F.coalesce("content", F.lit(""))))
+    """Share of each query's ``terms`` (repeats count) that the lower-cased content holds; no terms find nothing.
+
+    Hits carry the columns that settle visibility and filters; contents join the
+    best rows only.  Up to ``MOST_BROADCAST_QUERIES`` queries go to every task;
+    more are searched in blocks of that size.
+    """
     asked = queries.where(F.size("terms") > 0)
-    joined = rows.join(few(asked), visible_to_queries(rows))
-    if filters:
-        joined = joined.where(matches(corpus, F.col(filters)))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("lowered"), t)))
-    scored = joined.withColumn("hits", hits).where("hits > 0").withColumn("score", F.col("hits") / F.size("terms"))
-    return top(scored.drop("lowered"), limit).withColumn("engine", F.lit("keyword"))
+    blocks = max(1, -(-2 * asked.count() // MOST_BROADCAST_QUERIES))
+    light = [c for c in corpus.columns if c in ("document_id", "chunk_id", "tenant_id", "metadata", *ATTRIBUTES)]
+    rows = corpus.select(*light, F.lower(F.coalesce("content", F.lit(""))).alias("lowered"))
+    kind = T.StructType([*(corpus.schema[c] for c in light), T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("hits", T.LongType())])
+    found = None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        held = [(r["query_id"], r["terms"]) for r in part.select("query_id", "terms").collect()]
+        hits = rows.mapInArrow(_term_hits(held, to_arrow_schema(kind)), kind).join(F.broadcast(part), "query_id").where(visible_to_queries(corpus))
+        hits = hits.where(matches(corpus, F.col(filters))) if filters else hits
+        best = top(hits.withColumn("score", F.col("hits") / F.size("terms")), limit)
+        found = best if found is None else found.unionByName(best)
+    best = found.select("query_id", "document_id", "chunk_id", "score", "rank")
+    return corpus.join(best, ["document_id", "chunk_id"]).withColumn("engine", F.lit("keyword"))
 
 
 def metadata_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, filters: str = "filters", numeric: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.text import is_blank, normalize_text, sha256
 from quarryline.operators import chunking, markdown, profile, publishing
 from quarryline.operators.changes import source_group
+from quarryline.session import settle
 
 
 @dataclass(frozen=True)
@@ -43,16 +44,19 @@ def transform(docs: DataFrame) -> DataFrame:
 
 
 def ingest(docs: DataFrame, policy: IngestPolicy = IngestPolicy()) -> Ingested:
-    """Transform, profile, chunk, embed and publish; a document that fails a stage doesn't reach the next."""
-    made = transform(docs)
+    """Transform, profile, chunk, embed and publish; a document that fails a stage doesn't reach the next.
+
+    Every stage's table is settled, as the next one and the dead letters read it.
+    """
+    made = settle(transform(docs))
     dead = made.where(F.size("errors") > 0).select("document_id", F.lit("transform").alias("stage"), "errors")
     good = made.where(F.size("errors") == 0).drop("language")
-    profiles = profile.profiled(markdown.with_structure(good, "markdown"))
-    drafts = chunking.draft_rows(profiles.select("document_id", "blocks", "sections"), policy.chunks)
+    profiles = settle(profile.profiled(settle(markdown.with_structure(good, "markdown"))).drop("body", "errors"))
+    drafts = settle(chunking.draft_rows(profiles.select("document_id", "blocks", "sections"), policy.chunks))
     valid, failed = chunking.split_failures(drafts)
     dead = dead.unionByName(failed.select("document_id", F.lit("chunk").alias("stage"), "errors"))
     chunks = chunking.chunks(valid)
-    records = publishing.embed(chunks, policy.dimension, policy.model)
+    records = settle(publishing.embed(chunks, policy.dimension, policy.model))
     dead = dead.unionByName(records.where(F.size("vector_errors") > 0).select("document_id", F.lit("embed").alias("stage"), F.col("vector_errors").alias("errors")))
     about = docs.select("document_id", "tenant_id", "classification_clearance", "source_path", source_group(F.col("source_path")).alias("source_group"))
     points = publishing.build_points(records.where(F.size("vector_errors") == 0), chunks, about, F.lit(policy.collection), policy.version)

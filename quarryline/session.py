@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "quarryline", master: str | None = None, **conf: str) -> SparkSession:
@@ -15,3 +17,17 @@ def build_session(name: str = "quarryline", master: str | None = None, **conf: s
     } | {k.replace("_", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(name).config(map=settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a stage's table in the folder of ``spark.checkpoint.dir``.
+
+    It ends lineage, so a lost executor costs no earlier stage, and it ends the
+    optimizer's view: filters on derived columns aren't pushed into copies of
+    the expressions they came from.  A folder of its own is set only where the
+    session names none, as in tests.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
+    return df.checkpoint()
