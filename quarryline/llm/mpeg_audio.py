@@ -57,6 +57,11 @@ class Header:
     mono: bool
     length: int
 
+    @property
+    def shape(self) -> tuple[int, bool, int, bool]:
+        """What all frames of a stream share."""
+        return self.version, self.has_crc, self.rate, self.mono
+
     @property
     def samples(self) -> int:
         return 1152 if self.version == 3 else 576
@@ -112,7 +117,7 @@ def write_stream(payload: bytes) -> bytes:
     for f in frames:
         offsets.append(total)
         total += len(f)
-    seek = bytes(min(255, offsets[k * len(offsets) // 100] * 256 // total) for k in range(100))
+    seek = bytes(min(255, offsets[k * len(offsets) // 100] * 256 // total) for k in range(100)) if offsets else bytes(100)
     xing = b"Xing" + (7).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + total.to_bytes(4, "big") + seek
     body = b"\0" + b"payload\0" + str(len(payload)).encode()
     tag = b"TXXX" + synchsafe(len(body)) + b"\0\0" + body
@@ -161,11 +166,13 @@ SYNC = re.compile(rb"\xff[\xe0-\xff]")
 def read_stream(data: bytes) -> Reading:
     out = Reading()
     out.tags, at = read_tag(data)
-    end, free, locked = len(data), [], False
+    end, free, locked, shape = len(data), [], False, None
     while at + 4 <= end:
         if at == end - 128 and data.startswith(b"TAG", at):  # an ID3v1 tag, as no frame covers it
             break
         header = read_header(data[at : at + 4])
+        if header and shape and header.shape != shape:  # another kind of frame than the stream's is chance
+            header = None
         follows = at + (header.length if header else 0)
         # A frame counts if it ends at the end or before another header; once in step, each follows the last.
         if header is None or follows > end or not (locked or follows == end or read_header(data[follows : follows + 4])):
@@ -173,6 +180,7 @@ def read_stream(data: bytes) -> Reading:
             step = (found.start() if found else end) - at
             out.skipped, at, locked = out.skipped + step, at + step, False
             continue
+        shape = header.shape
         locked = follows == end or read_header(data[follows : follows + 4]) is not None
         crc_end = 6 if header.has_crc else 4
         begin = at + crc_end + header.side
