@@ -106,23 +106,18 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has_parent"))
     # up: the message `hops` replies above, and the score summed over those hops
     up = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("has_parent"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("hops"), "score")
+    rows, limit = cut_lineage(up), nodes.count()
+    done, climbing = rows.where("up IS NULL"), rows.where("up IS NOT NULL")
     steps = []
-    up = cut_lineage(up)
-    limit = nodes.count()
-    while True:
-        steps.append(up.select("tree", "node", "up").where("up IS NOT NULL"))
-        if steps[-1].isEmpty():
-            steps.pop()
-            break
-        if 2 ** (len(steps) - 1) > limit:
+    while not climbing.isEmpty():  # only messages that haven't reached their root go on
+        if 2 ** len(steps) > limit:
             raise ValueError("the parents of some messages form a cycle")
-        above = up.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("score").alias("score2"))
-        up = cut_lineage(
-            up.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
-            )
-        )
-    ends = up.select("tree", "node", F.col("hops").alias("length"), F.col("score").alias("path_score"))
+        steps.append(climbing.select("tree", "node", "up"))
+        above = climbing.unionByName(done).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("score").alias("score2"))
+        higher = climbing.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("score") + F.col("score2")).alias("score"))
+        higher = cut_lineage(higher)
+        done, climbing = done.unionByName(higher.where("up IS NULL")), higher.where("up IS NOT NULL")
+    ends = done.select("tree", "node", F.col("hops").alias("length"), F.col("score").alias("path_score"))
     leaves = ends.join(inner, ["tree", "node"], "left_anti")
     members = leaves.select("tree", F.col("node").alias("leaf"), "node", "length", "path_score", F.col("length").alias("place"))
     for k in reversed(range(len(steps))):  # every height is one sum of powers of two
