@@ -30,7 +30,7 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", ttl_seconds: int = 360
     Session windows join events exactly one gap apart, while a session ends at
     its TTL; the gap is one microsecond short of it.
     """
-    gap = F.expr(f"INTERVAL '{ttl_seconds - 1}.999999' SECOND" if ttl_seconds < 60 else f"make_dt_interval(0, 0, 0, {ttl_seconds}) - make_dt_interval(0, 0, 0, 0.000001)")
+    gap = f"{ttl_seconds - 1} seconds 999999 microseconds"
     marked = events.withWatermark(ts, late)
     out = marked.groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("events"), F.min(ts).alias("started_at"), F.max(ts).alias("last_seen"))
     return out.drop("session_window")
