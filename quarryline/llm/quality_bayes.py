@@ -24,7 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +60,15 @@ def features(text: str) -> tuple[float, ...]:
     )
 
 
-@F.pandas_udf(T.ArrayType(DOUBLE))
-def feature_vector(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: features(t or ""))
+#: Texts that are Python strings at once; the rest of a batch stays in Arrow's buffers.
+SLICE = 256
+
+
+@F.arrow_udf(T.ArrayType(DOUBLE))
+def feature_vector(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.float64())
+    parts = (texts.slice(a, SLICE).to_pylist() for a in range(0, len(texts), SLICE))
+    return pa.concat_arrays([pa.array([features(t or "") for t in part], kind) for part in parts] or [pa.array([], kind)])
 
 
 @dataclass
