@@ -22,13 +22,15 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarryline.llm.common import DOUBLE, LONG, STRING, record
 
@@ -215,10 +217,29 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
 
 
-@F.pandas_udf(record(n_bytes=LONG, media=T.BinaryType()))
-def store(texts: pd.Series) -> pd.DataFrame:
-    out = [payload_of(t) for t in texts]
-    return pd.DataFrame({"n_bytes": [n for n, _ in out], "media": [write_stream(p) for _, p in out]})
+#: Rows of a batch that are Python bytes at once; the rest stays in Arrow's buffers.
+SLICE = 64
+STORED = record(n_bytes=LONG, media=T.BinaryType())
+
+
+def in_slices(values: pa.Array, kind: T.StructType, row: Callable[[object], tuple]) -> pa.Array:
+    """One struct for every value."""
+    fields = list(to_arrow_schema(kind))
+    parts = []
+    for a in range(0, len(values), SLICE):
+        columns = zip(*map(row, values.slice(a, SLICE).to_pylist()), strict=True)
+        parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+
+
+def stored_row(text: str | None) -> tuple[int, bytes]:
+    n, payload = payload_of(text)
+    return n, write_stream(payload)
+
+
+@F.arrow_udf(STORED)
+def store(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, STORED, stored_row)
 
 
 PROBE = record(
@@ -227,18 +248,20 @@ PROBE = record(
 )
 
 
-@F.pandas_udf(PROBE)
-def probe(media: pd.Series) -> pd.DataFrame:
+def probed_row(data: bytes | None) -> tuple:
     """What the stored bytes hold; needs nothing but them."""
-    rows = []
-    for data in media:
-        r = read_stream(data)
-        payload = r.payload
-        exact = r.table_frames == len(r.offsets)
-        feature = f"mpeg1-l3 samples={r.samples} rate={r.rate} frames={len(r.offsets)} table={'ok' if exact else 'bad'} rates={','.join(map(str, sorted(r.bit_rates)))} bad_crc={r.bad_checksums} skipped={r.skipped} last={r.offsets[-1] if r.offsets else -1}"
-        duration = 1000 * r.samples / r.rate if r.rate else 0.0
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, duration, len(r.offsets), r.offsets, r.bad_checksums))
-    return pd.DataFrame(rows, columns=PROBE.names)
+    data = data or b""
+    r = read_stream(data)
+    payload = r.payload
+    exact = r.table_frames == len(r.offsets)
+    feature = f"mpeg1-l3 samples={r.samples} rate={r.rate} frames={len(r.offsets)} table={'ok' if exact else 'bad'} rates={','.join(map(str, sorted(r.bit_rates)))} bad_crc={r.bad_checksums} skipped={r.skipped} last={r.offsets[-1] if r.offsets else -1}"
+    duration = 1000 * r.samples / r.rate if r.rate else 0.0
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, duration, len(r.offsets), r.offsets, r.bad_checksums
+
+
+@F.arrow_udf(PROBE)
+def probe(media: pa.Array) -> pa.Array:
+    return in_slices(media, PROBE, probed_row)
 
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
