@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.functions import vectors as V
-from quarryline.operators import assembly, dialog, memory
+from quarryline.operators import assembly, dialog, gateway, memory
 from quarryline.plans import chat
 from quarryline.queries.common import DIMENSION, SQL_WORD, Registry, corpus, documents, events, lit_ts, table, turns
 from quarryline.sources import stores
@@ -133,8 +134,6 @@ def chat_context(spark, sf_dir):
 @R.add("""WITH n AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
 SELECT conv_id, turn, round_even(least(0.9::DOUBLE, 0.4::DOUBLE + 0.4::DOUBLE * ((i + 1) / n)), 4) AS score FROM n""")
 def history_scores(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     by = W.partitionBy("conv_id")
     rows = turns(spark, sf_dir).withColumn("n", F.count("*").over(by)).withColumn("i", F.row_number().over(by.orderBy("turn")) - 1)
     return rows.select("conv_id", "turn", assembly.history_score(F.col("i"), F.col("n")).alias("score"))
@@ -253,3 +252,31 @@ SELECT user_id, session::BIGINT AS session, count(*) AS events, epoch_us(min(ts)
 def sessions_ttl(spark, sf_dir):
     rows = dialog.ttl_sessions(events(spark, sf_dir), "user_id")
     return rows.select("user_id", "session", "events", F.unix_micros("started_at").alias("started_us"), F.unix_micros("last_seen").alias("last_us"))
+
+
+@R.add(f"WITH {MEMORY_SQL} SELECT memory_id, row_number() OVER (ORDER BY created_at, memory_id) AS place FROM m WHERE tenant_id = 'tenant-2' AND scope = 'session'")
+def memory_listing(spark, sf_dir):
+    rows = memory.listed(memories(spark, sf_dir), "tenant-2", "session")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("tenant_id").orderBy("created_at", "memory_id"))).select("memory_id", "place")
+
+
+@R.add("SELECT conv_id, turn % 4 IN (0, 2) AS use_memory, turn % 4 IN (1, 2) AS use_knowledge, ['memory', 'knowledge', 'knowledge', 'none'][turn % 4 + 1] AS primary_target, turn FROM conversations")
+def memory_routing(spark, sf_dir):
+    scope = F.get(F.array(*map(F.lit, ("personal", "organizational", "mixed", "unknown"))), (F.col("turn") % 4).cast("int"))
+    return turns(spark, sf_dir).select("conv_id", "turn", memory.routing(scope).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@R.add(f"""WITH p AS (SELECT conv_id, turn, 'You are bot. Be brief. Answer strictly from the provided context and cite sources. If the context is insufficient, say so.' || chr(10) || chr(10) || 'Organizational policies to honor:' || chr(10) || 'none' || chr(10) || chr(10)
+  || {STRIP.format("'Conversation objective: ' || coalesce(text, '')")} || chr(10) || chr(10) || {STRIP.format("'Relevant context:' || chr(10) || 'ctx' || chr(10) || chr(10) || 'User request: ' || coalesce(text, '')")} || chr(10) || chr(10) || 'Respond in markdown format.' AS prompt FROM conversations)
+SELECT conv_id, turn, sha256(prompt) AS prompt_sha256, length(prompt) // 4 AS tokens, CASE WHEN length(prompt) // 4 > 500 THEN 'token_exceeded' ELSE 'valid' END AS status FROM p""")
+def prompt_build(spark, sf_dir):
+    values = {"identity": F.lit("bot"), "behavior": F.lit("Be brief."), "policies": F.lit("none"), "objective": F.col("content"), "context": F.lit("ctx"), "format": F.lit("markdown")}
+    rows = turns(spark, sf_dir).withColumn("p", assembly.prompt(values, max_tokens=500))
+    return rows.select("conv_id", "turn", F.sha2("p.prompt_text", 256).alias("prompt_sha256"), F.col("p.token_estimate").alias("tokens"), F.col("p.validation_status").alias("status"))
+
+
+@R.add("""SELECT conv_id, turn, 'Based on the assembled context, here is a grounded response to: ' || CASE WHEN turn % 2 = 0 THEN 'turn ' || turn ELSE 'Respond.' END AS answer FROM conversations""")
+def echo_answers(spark, sf_dir):
+    n = F.col("turn").cast("string")
+    prompt = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Context\n  User request: turn "), n, F.lit("\n\nRespond."))).otherwise(F.lit("Context\nRespond.\n \n"))
+    return turns(spark, sf_dir).select("conv_id", "turn", gateway.echo(prompt).alias("answer"))

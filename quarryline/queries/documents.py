@@ -407,3 +407,82 @@ def decode_utf8(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     bad = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
     return rows.select("doc_id", F.length(files.decoded(F.concat(F.col("text").cast("binary"), bad))).alias("n_chars"))
+
+
+# --- files, registries and repair -------------------------------------------------------------
+
+SUFFIXES = [".pdf", ".PNG", ".mp3", ".mov", ".txt", ".md", ""]
+
+
+@R.add("""SELECT CASE doc_id % 7 WHEN 0 THEN 'document' WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'video' ELSE 'text' END AS kind, CASE doc_id % 7 WHEN 4 THEN 'text' WHEN 5 THEN 'markdown' WHEN 6 THEN 'text' END AS parser, count(*) AS n FROM documents GROUP BY ALL""")
+def file_routing(spark, sf_dir):
+    """Files by extension, then by MIME type."""
+    path = F.concat("source", F.lit("/f"), "document_id", F.get(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % 7).cast("int")))
+    mime = F.when(F.col("doc_id") % 7 == 6, "text/plain")
+    rows = documents(spark, sf_dir).select(files.file_kind(path, F.length("content")).alias("kind"), files.parser_for(path, mime).alias("parser"))
+    return rows.groupBy("kind", "parser").agg(F.count("*").alias("n"))
+
+
+@R.add("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'img/' || doc_id || '.png' ELSE NULL END AS first_image, (CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS images,
+  doc_id % 4 = 0 AS described FROM documents WHERE text IS NOT NULL AND NOT contains(text, '![')""")
+def image_links(spark, sf_dir):
+    rows = documents(spark, sf_dir).where(F.col("content").isNotNull() & ~F.col("content").contains("!["))
+    link = F.concat(F.lit("\n![a](img/"), "document_id", F.lit(".png) ![b](x.png) ![a](img/"), "document_id", F.lit(".png)"))
+    docs = rows.select("doc_id", "document_id", F.concat("content", F.when(F.col("doc_id") % 2 == 0, link).otherwise("")).alias("text"))
+    known = rows.where("doc_id % 4 = 0").select(F.concat(F.lit("img/"), "document_id", F.lit(".png")).alias("image"), F.lit("a plot").alias("description"))
+    out = files.describe_images(docs, known)
+    found = files.image_links(F.col("text"))
+    return out.select("doc_id", F.get(found, F.lit(0)).alias("first_image"), F.size(found).alias("images"), F.col("text").endswith(": a plot").alias("described"))
+
+
+@R.add("SELECT 'kb__local__hash_model_v2__d64' AS collection, 64::BIGINT AS dimension, 'cosine' AS distance_metric, 'Hash Model v2' AS embedding_model, 'inherited' AS source UNION ALL SELECT 'old', 64, 'cosine', 'local-hash', 'hybrid'")
+def embedding_profile(spark, sf_dir):
+    known = stores.collection_schema(point_rows(spark, sf_dir)).select("collection", "dimension", "distance_metric", "embedding_model")
+    old = spark.createDataFrame([("old", None, None, None)], "collection string, dimension int, distance_metric string, embedding_model string")
+    return stores.embedding_profile(known.unionByName(old))
+
+
+@R.add(f"""WITH {DOCS_SQL}, cur AS (SELECT DISTINCT 'tenant-0' AS tenant_id, source AS name, 'r-' || source AS repository_id, 'old' AS uri FROM docs WHERE doc_id % 2 = 0), inc AS (SELECT DISTINCT 'tenant-0' AS tenant_id, source AS name, 'new' AS uri FROM docs WHERE doc_id % 3 = 0)
+SELECT coalesce(repository_id, 'repo-' || left(sha256(tenant_id || chr(0) || name), 16)) AS repository_id, name, coalesce(inc.uri, cur.uri) AS uri FROM cur FULL JOIN inc USING (tenant_id, name)""")
+def register_repositories(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.lit("tenant-0").alias("tenant_id"), F.col("source").alias("name"))
+    current = rows.where("doc_id % 2 = 0").select("tenant_id", "name").distinct().withColumns({"repository_id": F.concat(F.lit("r-"), "name"), "uri": F.lit("old")})
+    incoming = rows.where("doc_id % 3 = 0").select("tenant_id", "name").distinct().withColumn("uri", F.lit("new"))
+    return changes.register_repositories(current, incoming).select("repository_id", "name", "uri")
+
+
+@R.add(f"WITH {DOCS_SQL} SELECT document_id FROM docs WHERE source = 'src3' AND doc_id % 5 <> 0 ORDER BY source_path, document_id LIMIT 20")
+def repository_documents(spark, sf_dir):
+    rows = documents(spark, sf_dir).withColumn("repository_id", F.col("source")).withColumn("status", F.when(F.col("doc_id") % 5 == 0, "deleted").otherwise("active"))
+    return changes.repository_documents(rows, "src3", limit=20).select("document_id")
+
+
+@R.add(f"WITH {CORPUS_SQL} SELECT count(*) FILTER (WHERE doc_id % 3 <> 0) AS by_manifest, count(*) FILTER (WHERE NOT (document_id = '7' AND tenant_id = 'tenant-1')) AS by_filter FROM corpus WHERE vector IS NOT NULL")
+def purge_vectors(spark, sf_dir):
+    points = point_rows(spark, sf_dir)
+    listed = changes.purge_vectors(points, ("", ""), points.where("doc_id % 3 = 0"))
+    filtered = changes.purge_vectors(points, ("7", "tenant-1"), None)
+    return listed.agg(F.count("*").alias("by_manifest")).crossJoin(filtered.agg(F.count("*").alias("by_filter")))  # one row each
+
+
+@R.add(f"WITH {CORPUS_SQL} SELECT document_id FROM corpus WHERE vector IS NOT NULL AND doc_id % 6 = 1")
+def missing_from_store(spark, sf_dir):
+    """Documents called published whose path the store lacks."""
+    points = point_rows(spark, sf_dir)
+    return changes.missing_from_store(points.select("document_id", "source_path"), points.where("doc_id % 6 <> 1")).select("document_id")
+
+
+@R.add(f"WITH {DOCS_SQL} SELECT DISTINCT source AS repository_id FROM docs WHERE source NOT IN (SELECT source FROM docs WHERE doc_id % 40 = 3)")
+def orphaned_repositories(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("repository_id"))
+    return changes.orphaned_repositories(rows.select("repository_id").distinct(), rows.where("doc_id % 40 = 3"))
+
+
+@R.add("""WITH a AS (SELECT doc_id AS id, ['markdown', 'chunks', 'vector'][doc_id % 3 + 1] AS kind FROM documents), e AS (SELECT vec_id AS id, vec_id + 5 AS parent FROM embeddings)
+SELECT 'unknown_asset' AS "check", count(*) AS n FROM e WHERE id NOT IN (SELECT id FROM a) HAVING count(*) > 0 UNION ALL SELECT 'unknown_parent', count(*) FROM e WHERE parent NOT IN (SELECT id FROM a) HAVING count(*) > 0
+UNION ALL SELECT 'missing_lineage', count(*) FROM a WHERE kind <> 'markdown' AND id NOT IN (SELECT id FROM e) HAVING count(*) > 0""")
+def lineage_findings(spark, sf_dir):
+    kind = F.get(F.array(F.lit("markdown"), F.lit("chunks"), F.lit("vector")), (F.col("doc_id") % 3).cast("int"))
+    assets = documents(spark, sf_dir).select(F.col("doc_id").alias("asset_id"), kind.alias("asset_type"))
+    edges = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), (F.col("vec_id") + 5).alias("parent_asset_id"))
+    return evaluation.validate_lineage(assets, edges).groupBy("check").agg(F.count("*").alias("n"))

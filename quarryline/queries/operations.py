@@ -338,3 +338,92 @@ def knowledge_or_memory(spark, sf_dir):
     knowledge = rows.where("query_id % 2 = 0 AND turn % 3 = 0").withColumn("known", F.lit(1))
     out = gateway.knowledge_or_memory(knowledge, rows.withColumn("known", F.lit(0)))
     return out.groupBy(F.col("query_id").alias("conv_id")).agg(F.count("*").alias("n"), F.sum("known").alias("from_knowledge"))
+
+
+# --- registries, redaction and lifecycles ---------------------------------------------------------
+
+
+def pick(values: list, by):
+    return F.get(F.array(*map(F.lit, values)), by.cast("int"))
+
+
+@R.add("""SELECT event_id, replace(replace('key k-secret-1 of ' || event_type || ' with k-secret', 'k-secret-1', '***redacted***'), 'k-secret', '***redacted***') AS message, '***redacted***' AS token, user_id::VARCHAR AS user FROM events""")
+def redact_logs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("key k-secret-1 of "), "event_type", F.lit(" with k-secret")).alias("message"), F.create_map(F.lit("Token"), F.lit("abc"), F.lit("user"), F.col("user_id").cast("string")).alias("fields"))
+    out = rows.select("event_id", governance.redact_secrets(F.col("message"), ["k-secret", "k-secret-1"]).alias("message"), governance.redact_keys(F.col("fields")).alias("f"))
+    return out.select("event_id", "message", F.element_at("f", F.lit("Token")).alias("token"), F.element_at("f", F.lit("user")).alias("user"))
+
+
+@R.add("SELECT doc_id, doc_id // 5 % 5 < doc_id % 5 AS downgrade FROM documents")
+def classification_downgrade(spark, sf_dir):
+    source, target = pick(search.CLEARANCES, F.col("doc_id") % 5), pick(search.CLEARANCES, F.expr("doc_id div 5 % 5"))
+    return table(spark, sf_dir, "documents").select("doc_id", governance.is_downgrade(source, target).alias("downgrade"))
+
+
+@R.add(f"""WITH {JOBS_SQL} SELECT 'released' AS step, count(*) AS n, sum(greatest(attempts - 1, 0))::BIGINT AS attempts FROM jobs WHERE status = 'running'
+UNION ALL SELECT 'cancelled', count(*), sum(attempts)::BIGINT FROM jobs WHERE status IN ('queued', 'running') UNION ALL SELECT 'requeued', count(*), 0 FROM jobs WHERE status IN ('dead_letter', 'cancelled')""")
+def job_lifecycle(spark, sf_dir):
+    rows = job_rows(spark, sf_dir)
+    steps = {"released": jobs.released(rows.where("status = 'running'"), lit_ts(NOW)), "cancelled": jobs.cancelled(rows), "requeued": jobs.requeued(rows, lit_ts(NOW))}
+    parts = [df.agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts")).select(F.lit(name).alias("step"), "n", "attempts") for name, df in steps.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def lifecycle_sql(states: list[str], edges: list[tuple[str, str]]) -> str:
+    return f"""WITH s AS (SELECT user_id, event_id, {states}[(event_id * 3 + user_id) % {len(states)} + 1] AS state FROM events), m AS (SELECT lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state, state AS to_state FROM s),
+    edges AS (SELECT unnest({[list(e) for e in edges]}) AS e)
+    SELECT from_state, to_state, count(*) AS n FROM m WHERE from_state IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges WHERE e[1] = from_state AND e[2] = to_state) GROUP BY ALL"""
+
+
+def lifecycle(spark: SparkSession, sf_dir: str, states: list[str], edges: list[tuple[str, str]]) -> DataFrame:
+    state = pick(states, (F.col("event_id") * 3 + F.col("user_id")) % len(states))
+    history = table(spark, sf_dir, "events").select("user_id", "event_id", state.alias("state"))
+    wrong = changes.illegal_transitions(changes.transitions(history, "user_id", order="event_id"), edges)
+    return wrong.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+
+
+CONVERSATION_STATES = sorted({a for a, _ in changes.CONVERSATION_EDGES})
+WORKFLOW_STATES = sorted({b for _, b in changes.WORKFLOW_EDGES})
+DOCUMENT_STATES = sorted({a for a, _ in changes.DOCUMENT_EDGES})
+
+
+@R.add(lifecycle_sql(CONVERSATION_STATES, changes.CONVERSATION_EDGES))
+def conversation_violations(spark, sf_dir):
+    return lifecycle(spark, sf_dir, CONVERSATION_STATES, changes.CONVERSATION_EDGES)
+
+
+@R.add(lifecycle_sql(WORKFLOW_STATES, changes.WORKFLOW_EDGES))
+def workflow_violations(spark, sf_dir):
+    return lifecycle(spark, sf_dir, WORKFLOW_STATES, changes.WORKFLOW_EDGES)
+
+
+@R.add(lifecycle_sql(DOCUMENT_STATES, changes.DOCUMENT_EDGES))
+def document_violations(spark, sf_dir):
+    return lifecycle(spark, sf_dir, DOCUMENT_STATES, changes.DOCUMENT_EDGES)
+
+
+@R.add("SELECT event_type, count(*) FILTER (WHERE event_id % 1000 + event_id % 700 > 1200) AS by_tokens, count(*) FILTER (WHERE event_id % 1000 + event_id % 700 <= 1200 AND value > 15) AS by_cost FROM events GROUP BY 1")
+def budget_breaches(spark, sf_dir):
+    usage = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 1000).alias("prompt_tokens"), (F.col("event_id") % 700).alias("completion_tokens"), F.col("value").alias("cost"))
+    over = gateway.over_limits(usage, 1200, 15.0)
+    types = usage.select("event_type").distinct()
+    counts = over.groupBy("event_type").agg(F.count_if(F.col("reason") == "tokens").alias("by_tokens"), F.count_if(F.col("reason") == "cost").alias("by_cost"))
+    return types.join(counts, "event_type", "left").fillna(0)
+
+
+TOOLS = [("calc", ["math"], []), ("sql", ["math", "query"], ["invoke_tool"]), ("mail", ["notify"], ["invoke_tool"]), ("ops", ["math"], ["admin"])]
+
+
+@R.add("SELECT unnest(['calc', 'sql']) AS tool_id")
+def tool_discovery(spark, sf_dir):
+    tools = spark.createDataFrame(TOOLS, "tool_id string, capabilities array<string>, required_permissions array<string>")
+    return gateway.find_tools(tools, "math", ["invoke_tool"]).select("tool_id")
+
+
+@R.add("SELECT unnest(['events', 'documents', 'vectors']) AS rule, unnest([(SELECT count(*) > 0 FROM events), (SELECT count(*) > 0 FROM documents), (SELECT count(*) FROM embeddings) >= (SELECT count(*) FROM documents)]) AS passed")
+def readiness(spark, sf_dir):
+    """One table of rules over counted facts."""
+    count = lambda name: table(spark, sf_dir, name).agg(F.count("*").alias(name))
+    facts = count("events").crossJoin(count("documents")).crossJoin(count("embeddings"))  # one row each
+    rules = {"events": F.col("events") > 0, "documents": F.col("documents") > 0, "vectors": F.col("embeddings") >= F.col("documents")}
+    return evaluation.readiness(facts, rules)
