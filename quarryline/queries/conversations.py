@@ -147,20 +147,24 @@ def citation_readiness(spark, sf_dir):
     return rows.select("doc_id", problem.alias("problem"))
 
 
-@R.add(f"""WITH x AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '{SQL_WORD}'), ' ') AS t FROM documents WHERE regexp_matches(text, '{BLANK}') AND NOT regexp_matches(text, '(?m)^\\s*[>#]'))
+@R.add(f"""WITH l AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '{BLANK}') AND NOT regexp_matches(x, '^[\\t-\\r \\x{{85}}\\p{{Z}}]*[>#]')) AS lines FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, array_to_string(regexp_extract_all(CASE WHEN len(lines) > 0 THEN array_to_string(lines, ' ') ELSE '> Context: A > B # Title ' || text END, '{SQL_WORD}'), ' ') AS t FROM l)
 SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(left(t, 240), ' +$', '') || '…' ELSE t END AS snippet FROM x""")
 def citation_snippet(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(F.col("content").rlike(r"(?U)\S") & ~F.col("content").rlike(r"(?m)^\s*[>#]"))
+    rows = documents(spark, sf_dir).where("content IS NOT NULL")
     framed = F.concat(F.lit("> Context: A > B\n\n# Title\n\n"), "content")
     return rows.select("doc_id", assembly.snippet(framed).alias("snippet"))
 
 
+KINDS_SQL = "['\n| a | b |\n|---|---|\n| 1 | 2 |', '\n```py\nx\n```', '\n- one\n- two\n', '\n**bold** text', '']"
 KINDS = ["\n| a | b |\n|---|---|\n| 1 | 2 |", "\n```py\nx\n```", "\n- one\n- two\n", "\n**bold** text", ""]
 
 
-@R.add("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'structured' WHEN 2 THEN 'list' WHEN 3 THEN 'markdown' ELSE 'conversational' END AS response_type FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[|`*#\\[]|(?m)^\\s*([-+]|\\d+\\.)')""")
+@R.add(f"""WITH k AS (SELECT conv_id, turn, coalesce(text, '') || {KINDS_SQL}[turn % 5 + 1] AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{assembly.RESPONSE_TABLE}') THEN 'table' WHEN contains(t, '```') THEN 'structured' WHEN len(regexp_extract_all(t, '{assembly.RESPONSE_ITEM}')) >= 2 THEN 'list'
+  WHEN regexp_matches(t, '{assembly.RESPONSE_MARKS}') THEN 'markdown' ELSE 'conversational' END AS response_type FROM k""")
 def response_type(spark, sf_dir):
-    rows = turns(spark, sf_dir).where(~F.col("content").rlike(r"[|`*#\[]|(?m)^\s*([-+]|\d+\.)"))
+    rows = turns(spark, sf_dir)
     extra = F.get(F.array(*map(F.lit, KINDS)), (F.col("turn") % 5).cast("int"))
     return rows.select("conv_id", "turn", assembly.response_type(F.concat("content", extra)).alias("response_type"))
 

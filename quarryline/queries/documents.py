@@ -170,15 +170,14 @@ def category(spark, sf_dir):
 
 COUNTED = ["email_address", "national_id", "api_key", "secret"]
 COUNT_SQL = {
-    "email_address": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "national_id": r"\b\d{3}-\d{2}-\d{4}\b",
+    "email_address": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "national_id": r"\b\d{3}-\d{2}-\d{4}\b",
     "api_key": r"(?i)\b(?:api[_-]?key|access[_-]?token)\b\s*[:=]\s*\S+", "secret": r"(?i)\b(?:password|passwd|secret|client[_-]?secret)\b\s*[:=]\s*\S+",
 }
 
 
-@R.add("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in COUNT_SQL.items()) + " FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@R.add("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in COUNT_SQL.items()) + " FROM documents WHERE text IS NOT NULL")
 def sensitive_counts(spark, sf_dir):
-    """Of ASCII texts, where both engines' word classes agree."""
-    rows = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     counts = profile.sensitive_counts(F.col("text"))
     return rows.select("doc_id", *(counts[n].alias(n) for n in COUNTED))
 
@@ -240,11 +239,11 @@ def document_profile(spark, sf_dir):
     return rows.select("document_id", "t.rows", "t.columns", "t.header_confidence", "t.contains_ids", "t.contains_numeric", "t.contains_dates", "complexity", "structure_score", "table_score", "quality", "primary_topic")
 
 
-@R.add(f"""WITH {DOCS_SQL} SELECT document_id, section_id, flags.t AS contains_table, flags.i AS contains_image, flags.c AS contains_code, flags.w AS contains_warning FROM (
-  SELECT document_id, doc_id, unnest(['SEC-2', 'SEC-3']) AS section_id, unnest([{{'t': true, 'i': false, 'c': false, 'w': false}}, {{'t': false, 'i': true, 'c': true, 'w': true}}]) AS flags FROM docs WHERE {PLAIN_SQL} AND doc_id % 3 <> 0)""")
+@R.add(f"""WITH {DOCS_SQL} SELECT document_id, s AS section_id, s = 'SEC-2' AS contains_table, s = 'SEC-3' AS contains_image, s = 'SEC-3' AS contains_code, s = 'SEC-3' AS contains_warning
+FROM (SELECT document_id, doc_id, unnest(['SEC-1', 'SEC-2', 'SEC-3', 'SEC-4']) AS s FROM docs WHERE {PLAIN_SQL}) WHERE s <> 'SEC-4' OR doc_id % 3 = 0""")
 def section_flags(spark, sf_dir):
-    rows = profile.profiled(markdown_docs(spark, sf_dir)).where("cast(document_id as long) % 3 <> 0")
-    sections = rows.select("document_id", F.explode("section_stats").alias("s")).select("document_id", "s.*").where("section_id in ('SEC-2', 'SEC-3')")
+    rows = profile.profiled(markdown_docs(spark, sf_dir))
+    sections = rows.select("document_id", F.explode("section_stats").alias("s")).select("document_id", "s.*")
     return sections.select("document_id", "section_id", "contains_table", "contains_image", "contains_code", "contains_warning")
 
 
@@ -423,10 +422,10 @@ def file_routing(spark, sf_dir):
     return rows.groupBy("kind", "parser").agg(F.count("*").alias("n"))
 
 
-@R.add("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'img/' || doc_id || '.png' ELSE NULL END AS first_image, (CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS images,
-  doc_id % 4 = 0 AS described FROM documents WHERE text IS NOT NULL AND NOT contains(text, '![')""")
+@R.add("""WITH t AS (SELECT doc_id, regexp_extract_all(text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '![a](img/' || doc_id || '.png) ![b](x.png) ![a](img/' || doc_id || '.png)' ELSE '' END, '!\\[[^\\]]*\\]\\(([^)\\s]+)\\)', 1) AS links FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, links[1] AS first_image, len(list_distinct(links)) AS images, doc_id % 4 = 0 AS described FROM t""")
 def image_links(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(F.col("content").isNotNull() & ~F.col("content").contains("!["))
+    rows = documents(spark, sf_dir).where("content IS NOT NULL")
     link = F.concat(F.lit("\n![a](img/"), "document_id", F.lit(".png) ![b](x.png) ![a](img/"), "document_id", F.lit(".png)"))
     docs = rows.select("doc_id", "document_id", F.concat("content", F.when(F.col("doc_id") % 2 == 0, link).otherwise("")).alias("text"))
     known = rows.where("doc_id % 4 = 0").select(F.concat(F.lit("img/"), "document_id", F.lit(".png")).alias("image"), F.lit("a plot").alias("description"))
