@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarryline.functions.text import is_blank, sha256, word_count
 from quarryline.operators.markdown import blocks_of, render_block
 
 PREAMBLE = "Introduction"
+#: Documents of a batch that are Python objects at once.
+SLICE = 128
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 
 
@@ -149,17 +152,20 @@ def section_drafts(view: dict, policy: ChunkPolicy) -> list[dict]:
     return [place | {"body": "\n\n".join(b["text"] for b in g)} | {f"contains_{k}": any(b["kind"] == k for b in g) for k in ("table", "code", "image")} for g in groups]
 
 
-def cut_views(policy: ChunkPolicy, key: str):
+def cut_views(policy: ChunkPolicy, schema: pa.Schema):
     """Rows of (key, known_sections, views) as rows of drafts."""
-    names = [key, "known_sections", "position", *DRAFT.names]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for owner, known, views in zip(rows[key], rows["known_sections"], rows["views"], strict=True):
-                made = (d for v in views for d in section_drafts(v, policy))
-                out += [(owner, known, i, *map(d.get, DRAFT.names)) for i, d in enumerate(made)]
-            yield pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                owners, made = [], []
+                for i, views in enumerate(part.column("views").to_pylist()):
+                    own = [d for v in views for d in section_drafts(v, policy)]
+                    owners += [i] * len(own)
+                    made += [d | {"position": n} for n, d in enumerate(own)]
+                kept = [part.column(n).take(pa.array(owners, pa.int32())) for n in schema.names[:2]]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array([d[f.name] for d in made], f.type) for f in list(schema)[2:]], schema=schema)
 
     return run
 
@@ -181,7 +187,7 @@ def draft_rows(docs: DataFrame, policy: ChunkPolicy = ChunkPolicy(), key: str =
         raise ValueError("the overlap must be smaller than the chunk size")
     shown = docs.select(key, F.transform("sections", lambda s: s["section_id"]).alias("known_sections"), views().alias("views"))
     schema = T.StructType([shown.schema[key], T.StructField("known_sections", T.ArrayType(_S)), T.StructField("position", _I), *DRAFT.fields])
-    rows = shown.mapInPandas(cut_views(policy, key), schema)
+    rows = shown.mapInArrow(cut_views(policy, to_arrow_schema(schema)), schema)
     prefix = F.concat(F.lit("> Context: "), F.col("breadcrumb"), F.lit("\n\n")) if policy.breadcrumb else F.lit("")
     rows = rows.withColumn("content", F.concat(prefix, F.col("body"))).drop("body")
     rows = rows.withColumn("token_count", word_count(F.col("content"))).withColumn("content_hash", F.concat(F.lit("sha256:"), sha256(F.col("content"))))

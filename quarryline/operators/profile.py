@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import first_of, is_blank, reading_seconds, word_count
+from quarryline.functions.vectors import let
 from quarryline.operators.markdown import blocks_of
 
 #: Patterns of section flags and table cells.
@@ -23,7 +24,7 @@ LANGUAGE_WORDS = {
     "fr": "le la les des et une pour".split(),
     "es": "el la los las para con una".split(),
 }
-LANGUAGE_WORD = r"[a-zA-ZÀ-ɏ]+"
+LETTER = r"[a-zA-ZÀ-ɏ]"
 SCRIPTS = {"ja": r"[぀-ヿ]", "ko": r"[가-힣]", "zh": r"[一-鿿]", "ru": r"[Ѐ-ӿ]"}
 SCRIPT = r"[぀-ヿ가-힣一-鿿Ѐ-ӿ]"
 
@@ -54,13 +55,15 @@ CARD = r"(?U)\b(?:\d[ -]?){13,19}\b"
 
 def language(text: Column, default: str = "en") -> Column:
     """The first character of a settling script decides; else the language with most frequent words, the first of equals."""
-    script = F.regexp_extract(text, f"({SCRIPT})", 1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(LANGUAGE_WORD), F.lit(0)), F.lower)
-    count = lambda words: F.size(F.filter(found, lambda w: w.isin(*words)))
-    hits = {k: count(words) for k, words in LANGUAGE_WORDS.items()}
-    most = F.greatest(*hits.values())
-    by_script = [(script.rlike(pattern), code) for code, pattern in SCRIPTS.items()]
-    return first_of(by_script + [(most == 0, default)] + [(n == most, code) for code, n in hits.items()], default)
+    count = lambda words: F.regexp_count(F.lower(text), F.lit(f"(?<!{LETTER})(?:{'|'.join(words)})(?!{LETTER})"))
+    counts = F.struct(*(count(words).alias(code) for code, words in LANGUAGE_WORDS.items()))
+
+    def most_words(n: Column) -> Column:
+        most = F.greatest(*(n[code] for code in LANGUAGE_WORDS))
+        return first_of([(most == 0, default)] + [(n[code] == most, code) for code in LANGUAGE_WORDS], default)
+
+    by_script = lambda c: first_of([(c.rlike(pattern), code) for code, pattern in SCRIPTS.items()], None)
+    return F.coalesce(let(F.regexp_extract(text, f"({SCRIPT})", 1), by_script), let(counts, most_words))
 
 
 def category(text: Column, source_type: Column | None = None) -> Column:

@@ -31,3 +31,12 @@ def settle(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer splits than there are cores, dealt to all of them; others stay as they are.
+
+    Select columns first: what is dealt is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
