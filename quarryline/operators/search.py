@@ -200,7 +200,8 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, filte
     """
     asked = queries.where(F.size("terms") > 0)
     blocks = max(1, -(-2 * asked.count() // MOST_BROADCAST_QUERIES))
-    light = [c for c in corpus.columns if c in ("document_id", "chunk_id", "tenant_id", "metadata", *ATTRIBUTES)]
+    wanted = ("document_id", "chunk_id", "tenant_id", "classification_clearance", *(("metadata", *ATTRIBUTES) if filters else ()))
+    light = [c for c in corpus.columns if c in wanted]
     rows = corpus.select(*light, F.lower(F.coalesce("content", F.lit(""))).alias("lowered"))
     kind = T.StructType([*(corpus.schema[c] for c in light), T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("hits", T.LongType())])
     found = None
