@@ -36,7 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarryline.llm import shingles
 from quarryline.llm.common import LONG, cut_lineage
+from quarryline.llm.components import components
 
 RADIUS = 2
 SHINGLE = 3
@@ -229,30 +231,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link_shards, "a long, b long").distinct()
 
 
-# --- connected components ----------------------------------------------------
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every linked node, by large-star and small-star passes.
-
-    Each pass is two joins on a table of links that never grows beyond one link
-    for each node and its neighbours; it ends when the links no longer change.
-    """
-    edges, before = cut_lineage(links.where("a <> b")), None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+# --- groups ------------------------------------------------------------------
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -267,18 +246,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of least id (null last).
+    """``docs`` with one row of each near-copy group: the one of least id (null last).
 
-    Rows are named by two hashes over all their columns.  Names and fingerprints
-    settle which rows stay; texts are shuffled once, to be joined with the names
-    chosen.  Of exactly repeated rows, which share a name, one stays.
+    Groups are the connected components of the texts whose sets of five-word
+    shingles have a similarity of 0.8 or more (``shingles``), and not of the
+    fingerprints.  Rows are named by two hashes over all their columns.  Names
+    and nodes settle which rows stay; texts are shuffled to be joined with the
+    names chosen.  Of exactly repeated rows, which share a name, one stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.withColumns({"__a": F.xxhash64(*columns), "__b": F.hash(*columns)})
     key = F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), "__a", "__b")
-    marked = cut_lineage(named.select(key.alias("key"), fingerprint(F.col(text)).alias("node")))
-    firsts = cut_lineage(marked.groupBy("node").agg(F.min("key").alias("first")))
-    member = cut_lineage(components(near_links(firsts.select("node"))))
+    texts = named.select("__a", "__b", key.alias("key"), F.col(text).alias("text"))
+    firsts, links = shingles.similar(texts)
+    member = cut_lineage(components(links))
     grouped = firsts.join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     chosen = grouped.select("first.__a", "first.__b")
     found = named.join(chosen, ["__a", "__b"], "left_semi")
