@@ -97,11 +97,16 @@ def few(queries: DataFrame, most: int = MOST_BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
 
 
-def top(scored: DataFrame, limit: Column | int) -> DataFrame:
-    """The best ``limit`` rows of each query, ranked from 0; ties go by document and chunk."""
+def top(scored: DataFrame, limit: Column | int, most: int | None = None) -> DataFrame:
+    """The best ``limit`` rows of each query, ranked from 0; ties go by document and chunk.
+
+    Where the limit is a column, ``most`` is its greatest value: only a number
+    lets Spark cut the rows down before the shuffle.
+    """
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     kept = ranked.where(F.col("rank") <= limit)
+    kept = kept.where(F.col("rank") <= most) if most else kept
     return kept.withColumn("rank", (F.col("rank") - 1).cast("int")).withColumn("score", V.clamp(F.col("score")))
 
 
@@ -113,7 +118,7 @@ def _similarity(metric: str, size: int | None) -> Column:
     return V.cosine(F.col("vector"), F.col("q_vector"), F.col("norm"), F.col("q_norm"), size)
 
 
-def vector_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, size: int | None = None, metric: str = "cosine", filters: str | None = None) -> DataFrame:
+def vector_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, size: int | None = None, metric: str = "cosine", filters: str | None = None, most: int | None = None) -> DataFrame:
     """Best rows by similarity to each query's ``q_vector``; scores of 0 and less are dropped.
 
     ``size`` is the vectors' length, if all share it.  Norms are computed once
@@ -128,7 +133,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, size:
     if filters:
         joined = joined.where(matches(corpus, F.col(filters)))
     scored = joined.withColumn("score", _similarity(metric, size)).where("score > 0")
-    return top(scored, limit).withColumn("engine", F.lit("vector"))
+    return top(scored, limit, most).withColumn("engine", F.lit("vector"))
 
 
 def best_vectors(corpus: DataFrame, vector: list[float], limit: int = 10) -> DataFrame:
@@ -191,7 +196,7 @@ def _term_hits(queries: list[tuple[object, list[str]]], schema: pa.Schema):
     return run
 
 
-def keyword_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, filters: str | None = None) -> DataFrame:
+def keyword_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, filters: str | None = None, most: int | None = None) -> DataFrame:
     """Share of each query's ``terms`` (repeats count) that the lower-cased content holds; no terms find nothing.
 
     Hits carry the columns that settle visibility and filters; contents join the
@@ -210,17 +215,17 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, filte
         held = [(r["query_id"], r["terms"]) for r in part.select("query_id", "terms").collect()]
         hits = rows.mapInArrow(_term_hits(held, to_arrow_schema(kind)), kind).join(F.broadcast(part), "query_id").where(visible_to_queries(corpus))
         hits = hits.where(matches(corpus, F.col(filters))) if filters else hits
-        best = top(hits.withColumn("score", F.col("hits") / F.size("terms")), limit)
+        best = top(hits.withColumn("score", F.col("hits") / F.size("terms")), limit, most)
         found = best if found is None else found.unionByName(best)
     best = found.select("query_id", "document_id", "chunk_id", "score", "rank")
     return corpus.join(best, ["document_id", "chunk_id"]).withColumn("engine", F.lit("keyword"))
 
 
-def metadata_search(corpus: DataFrame, queries: DataFrame, limit: int = 10, filters: str = "filters", numeric: bool = False) -> DataFrame:
+def metadata_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, filters: str = "filters", numeric: bool = False, most: int | None = None) -> DataFrame:
     """Rows that meet all of a query's filters, with score 1; a query without filters finds nothing."""
     asked = queries.where(F.size(filters) > 0)
     joined = corpus.join(few(asked), visible_to_queries(corpus)).where(matches(corpus, F.col(filters), numeric))
-    return top(joined.withColumn("score", F.lit(1.0)), limit).withColumn("engine", F.lit("metadata"))
+    return top(joined.withColumn("score", F.lit(1.0)), limit, most).withColumn("engine", F.lit("metadata"))
 
 
 def candidates(found: DataFrame) -> DataFrame:
