@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.operators.changes import file_name
+from quarryline.session import settle
 
 #: Stages in order with the asset that each makes and its mark.
 STAGES = [("markdown", "T"), ("intelligence", "I"), ("chunks", "C"), ("embedding", "E"), ("vector", "P")]
@@ -111,9 +112,29 @@ def latest_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("document_id").agg(F.max_by(row, F.struct("created_at", "job_id")).alias("job"))
 
 
-def status_board(documents: DataFrame, assets: DataFrame, jobs: DataFrame, now: Column, newest: int = 500) -> DataFrame:
-    """The newest documents with stages done, derived status, place in the queue and seconds until due."""
-    docs = documents.orderBy(F.desc("updated_at"), "document_id").limit(newest)
+def status_board(documents: DataFrame, assets: DataFrame, jobs: DataFrame, now: Column, newest: int | None = 500) -> DataFrame:
+    """The newest documents, or all if None, with stages done, derived status, place in the queue and seconds until due."""
+    rows = board_rows(documents, assets, jobs, now, newest)
+    waiting = [F.desc("__priority"), F.asc_nulls_last("__available"), "__created", "document_id"]
+    rows = numbered(rows, "line_no", F.coalesce(~F.col("__queued"), F.lit(True)), *waiting).withColumn("line_no", F.when(F.col("__queued"), F.col("line_no")))
+    place = F.array_position(F.array(*map(F.lit, BOARD)), F.col("board_status"))
+    return numbered(rows.drop("__queued", "__priority", "__available", "__created"), "position", place, F.desc("recent"), "document_id")
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Rows with their number in an order from 1: places in sorted ranges, plus the sizes of the ranges before."""
+    ranges = settle(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    ranges = ranges.withColumn("__range", F.shiftright("__at", 33))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__range", before.alias("__before"))
+    number = F.col("__at") - F.shiftleft("__range", 33) + F.col("__before") + 1
+    return ranges.join(F.broadcast(offsets), "__range").withColumn(name, number).drop("__at", "__range", "__before")
+
+
+def board_rows(documents: DataFrame, assets: DataFrame, jobs: DataFrame, now: Column, newest: int | None = None) -> DataFrame:
+    """The board without its numbers, which need an order, and with the columns that the queue is ordered by."""
+    docs = documents.orderBy(F.desc("updated_at"), "document_id").limit(newest) if newest is not None else documents
     made = assets.groupBy("document_id").agg(F.collect_set("asset_type").alias("stages"), F.max("created_at").alias("last_asset"))
     rows = docs.join(made, "document_id", "left").join(latest_jobs(jobs), "document_id", "left")
     rows = rows.withColumn("stages", F.coalesce("stages", F.array().cast("array<string>")))
@@ -128,15 +149,13 @@ def status_board(documents: DataFrame, assets: DataFrame, jobs: DataFrame, now:
         .otherwise("queued")
     )
     queued = job == "queued"
-    line = F.row_number().over(W.partitionBy(F.coalesce(queued, F.lit(False))).orderBy(F.desc("job.priority"), F.asc_nulls_last("job.available_at"), "job.created_at", "document_id"))
     due = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col("job.available_at")) - F.unix_micros(now)) / 1_000_000))
-    out = rows.select(
+    return rows.select(
         "document_id", file_name(F.col("source_path")).alias("name"), status.alias("board_status"), done.alias("stages_done"), stage_marks(F.col("stages")).alias("marks"),
         job.alias("job_status"), F.coalesce("job.attempts", F.lit(0)).alias("job_attempts"),
-        F.when(queued, line).alias("line_no"), F.when(queued, due).alias("defer_seconds"), F.coalesce("last_asset", "updated_at").alias("recent"),
+        F.when(queued, due).alias("defer_seconds"), F.coalesce("last_asset", "updated_at").alias("recent"),
+        queued.alias("__queued"), F.col("job.priority").alias("__priority"), F.col("job.available_at").alias("__available"), F.col("job.created_at").alias("__created"),
     )
-    place = F.array_position(F.array(*map(F.lit, BOARD)), F.col("board_status"))
-    return out.withColumn("position", F.row_number().over(W.orderBy(place, F.desc("recent"), "document_id")))
 
 
 def board_counts(board: DataFrame) -> DataFrame:

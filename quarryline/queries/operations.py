@@ -94,14 +94,14 @@ board AS (SELECT *, CASE WHEN job.s = 'queued' THEN row_number() OVER (PARTITION
   || (CASE WHEN list_contains(stages, 'embedding') THEN 'E' ELSE '.' END) || (CASE WHEN list_contains(stages, 'vector') THEN 'P' ELSE '.' END) AS marks FROM board""")
 def job_status_board(spark, sf_dir):
     docs, assets = board_tables(spark, sf_dir)
-    board = jobs.status_board(docs, assets, job_rows(spark, sf_dir), lit_ts(NOW), newest=100_000)
+    board = jobs.status_board(docs, assets, job_rows(spark, sf_dir), lit_ts(NOW), newest=None)
     return board.select("document_id", "board_status", "stages_done", "line_no", "position", "defer_seconds", "marks")
 
 
 @R.add(f"WITH {BOARD_SQL} SELECT board_status, count(*) AS n FROM board GROUP BY 1")
 def board_counts(spark, sf_dir):
     docs, assets = board_tables(spark, sf_dir)
-    return jobs.board_counts(jobs.status_board(docs, assets, job_rows(spark, sf_dir), lit_ts(NOW), newest=100_000))
+    return jobs.board_counts(jobs.board_rows(docs, assets, job_rows(spark, sf_dir), lit_ts(NOW)))
 
 
 @R.add(f"""WITH {BOARD_SQL}, p AS (SELECT document_id, list_position([list_contains(stages, s) FOR s IN {ASSETS}], false) AS gap FROM made)
