@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -32,26 +33,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in tests.
+    The folder is the session's ``spark.checkpoint.dir``.  Only a session on
+    one machine, as in tests, gets a temporary one where it names none: on a
+    cluster every executor would write to its own disk.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
     return df.checkpoint()
 
 
-def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether ``df`` has at most ``most_rows`` rows, reading no more than that."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def row_of(df: DataFrame, but: Iterable[str] = ()) -> Column:
+    """All columns of ``df`` in one struct, so that no name of theirs meets a name used on the way."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in but))
+
+
+def byte_size(field: T.StructField) -> Column:
+    """About the bytes of a value, as a broadcast holds it."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType):
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 24
+    return F.lit(16)
+
+
+def small_enough(df: DataFrame, most_rows: int, most_bytes: int = 32 << 20) -> bool:
+    """Whether ``df`` has at most so many rows and bytes, reading no more rows than that."""
+    size = sum((byte_size(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    seen = df.limit(most_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return seen["n"] <= most_rows and seen["b"] <= most_bytes
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], most_rows: int = 100_000) -> DataFrame:
     """Left join of ``small``, one row per key, to ``big``; keys may be null.
 
-    Up to ``most_rows`` rows of short keys and numbers are broadcast; beyond
-    that both sides are shuffled and a hot key of ``big`` is split by the
-    adaptive skew join, as it occurs once in ``small``.
+    Up to ``most_rows`` rows and 32 MB are broadcast; beyond that both sides
+    are shuffled and a hot key of ``big`` is split by the adaptive skew join,
+    as it occurs once in ``small``.
     """
     side = F.broadcast(small) if small_enough(small, most_rows) else small
     renamed = side.select(*(F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in side.columns))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +22,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame) -> quality_bayes.Model:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Sites of ``documents``: a source is a host, its languages are the paths."""
-    return quality_bayes.fit(docs, labels, "text", "doc_id", F.col("source"), F.col("lang"))
+    return quality_bayes.classify(docs, labels, "text", "doc_id", F.col("source"), F.col("lang"), keep)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = quality_bayes.score(docs, quality_model(docs, labels), "text", F.col("source"), F.col("lang"))
-    return scored.select("doc_id", "source", "lang", "doc_llr", "host_posterior", "path_posterior", "quality_score", "kept")
+    judged = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "source", "lang"])
+    return judged.select("doc_id", "source", "lang", "doc_llr", "host_posterior", "path_posterior", "quality_score", "kept")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +49,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     prototypes = langid_hd.learn(docs, "text", "lang", "doc_id", ~held_out)
-    judged = langid_hd.predict(docs.select("doc_id", "text"), prototypes, F.col("text"))
+    judged = langid_hd.predict(docs.select("doc_id", "text"), prototypes)
     return judged.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
@@ -62,6 +60,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers  # the vocabulary files; only packing needs them
+
     return harmonic.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -77,7 +77,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpeg_audio.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = mpeg_audio.probed(stored)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_ms", "n_frames", "bad_checksums")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_ms", "n_frames", "frame_offsets", "bad_checksums")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns)}

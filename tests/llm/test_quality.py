@@ -82,26 +82,73 @@ def site_rows():
     return rows, labels
 
 
+TRUE_WORDS = ("the", "river", "runs", "over", "stones", "and", "mills")
+
+
 def test_classifier_separates_and_counts_every_document(spark):
     rows, labels = site_rows()
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
-    model = quality_bayes.fit(docs, marks, "text", "doc_id", F.col("source"), F.col("lang"))
-    assert model.sites.agg(F.sum("path_n")).first()[0] == len(rows)
-    scored = quality_bayes.score(docs.withColumn("kept", F.lit("old")), model, "text", F.col("source"), F.col("lang")).collect()
+    evidence = quality_bayes.learn(docs, marks, "text", "doc_id")
+    sites = quality_bayes.fit_sites(quality_bayes.read(docs, evidence, "text", F.col("source"), F.col("lang")))
+    assert sites.paths.agg(F.sum("path_n")).first()[0] == len(rows)
+    scored = classified(docs.withColumn("kept", F.lit("old")), marks).collect()
     assert len(scored) == len(rows)
-    truth = {i: t.startswith(("the", "river", "runs", "over", "stones", "and", "mills")) for i, t, _, _ in rows}
+    truth = {i: t.startswith(TRUE_WORDS) for i, t, _, _ in rows}
     assert sum(r["kept"] == truth[r["doc_id"]] for r in scored) >= 0.97 * len(rows)
+    unseen = [r for r in scored if r["doc_id"] % 2 == 0]  # without labels
+    assert sum(r["kept"] == truth[r["doc_id"]] for r in unseen) >= 0.97 * len(unseen)
+
+
+def classified(docs, marks, **more):
+    return quality_bayes.classify(docs, marks, "text", "doc_id", F.col("source"), F.col("lang"), **more)
+
+
+def test_words_alone_are_evidence():
+    """Texts of the same surface, of which one kind uses other words."""
+    counts = {"good": quality_bayes.grams("the quiet river"), "bad": quality_bayes.grams("the cheap offer")}
+    ratios = quality_bayes.np.zeros(quality_bayes.BUCKETS)
+    ratios[counts["good"]] += 1
+    ratios[counts["bad"]] -= 1
+    assert quality_bayes.features("quiet river", ratios)[-1] > 0 > quality_bayes.features("cheap offer", ratios)[-1]
+    assert len(quality_bayes.grams("one")) == 1 and len(quality_bayes.grams("")) == 0 and len(quality_bayes.grams("A b a B")) == 4
+
+
+def test_ratios_by_plain_counts(spark):
+    rows = [(1, True, "a b c"), (2, True, "a b"), (3, False, "x y"), (4, False, None), (5, False, "x a")]
+    got = quality_bayes.gram_ratios(spark.createDataFrame(rows, "doc_id long, good boolean, text string").repartition(3))
+    good, bad = Counter(), Counter()
+    for _, is_good, t in rows:
+        (good if is_good else bad).update(quality_bayes.grams(t or "").tolist())
+    want = [math.log((good[b] + 1) / 4) - math.log((bad[b] + 1) / 5) for b in range(quality_bayes.BUCKETS)]
+    assert got.tolist() == pytest.approx(want)
+
+
+def test_two_runs_agree_in_every_bit(spark):
+    rows, labels = site_rows()
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    runs = [sorted(map(tuple, classified(docs.repartition(n), marks.repartition(n), keep=["doc_id"]).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
 
 
 def test_posteriors_shrink_to_their_parents(spark):
     docs = spark.createDataFrame([(1, "calm words here", "big", "a"), (2, None, "big", "b"), (3, "", None, None), (3, "", None, None)], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
-    model = quality_bayes.fit(docs, none, "text", "doc_id", F.col("source"), F.col("lang"))
-    assert model.weights == quality_bayes.DEFAULT_WEIGHTS
-    out = quality_bayes.score(docs, model, "text", F.col("source"), F.col("lang")).collect()
+    assert quality_bayes.learn(docs, none, "text", "doc_id").weights == quality_bayes.DEFAULT_WEIGHTS
+    out = classified(docs, none).collect()
     assert len(out) == 4 and not any(r["kept"] for r in out if not (r["text"] or "").strip())
     for r in out:  # with its own vote taken out, a lone document's site says what the site above says
         if r["source"] is None or r["lang"] == "b":
             assert 0 < r["path_posterior"] < 1
-    empty = docs.limit(0)
-    assert quality_bayes.score(empty, quality_bayes.fit(empty, none, "text", "doc_id", F.col("source"), F.col("lang")), "text", F.col("source"), F.col("lang")).count() == 0
+    assert classified(docs.limit(0), none).count() == 0
+
+
+def test_a_sparse_site_says_less_than_a_large_one(spark):
+    """Of two sites without a good document the large one moves its posterior further from the prior."""
+    rng = random.Random(9)
+    loud = lambda: " ".join(rng.choices(["BUY", "NOW", "$$$", "###", "|", "win!!!"], k=40))
+    calm = lambda: " ".join(rng.choices(TRUE_WORDS, k=40))
+    rows = [(i, calm(), f"s{i % 7}", "en") for i in range(200)] + [(1000 + i, loud(), "large", "en") for i in range(60)] + [(2000 + i, loud(), "small", "en") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows[::2]], "doc_id long, quality int")
+    out = {r["doc_id"]: r["path_posterior"] for r in classified(docs, marks).collect()}
+    assert out[1000] < out[2000] < out[0]
