@@ -13,13 +13,17 @@ seeded hash.
 
 Positions in a stream come from two-level sums (buckets of about a thousand
 documents, then documents), so a source that holds a third of all rows is
-never gathered in one task.  Per source only single rows of sums are brought
-together.
+never gathered in one task.  Equal rows are counted and numbered, and the
+number goes into their order, so that many copies of one row spread over the
+stream like other rows.  Per source only single rows of sums are brought
+together: targets and the tree's top see one row for each source.
 
 Edge cases: a null text has size 0 and is never taken; null sources are one
 source, ordered last; rows that repeat an id are documents of their own;
 a source without words has target 0; an empty table gives an empty mix.
-Columns of the documents that clash with outputs are replaced.
+Texts are read whole, whatever their length.  Equal hashes are ordered by id,
+size and copy.  ``mix`` has the columns it names; ``mixed_documents`` returns
+those of its input, of whatever names, and cuts texts only at a target.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import STRING, WORD, attach, cut_lineage
+from quarryline.llm.common import STRING, WORD, attach, cut_lineage, row_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -42,6 +46,8 @@ BLOCK_WORDS = 65_536
 #: Blocks in one output shard, about.
 SHARD_BLOCKS = 64
 BUCKET_DOCS = 1000
+#: Equal documents that are numbered in one go.
+COPIES = 100_000
 #: Subtrees that are split on their own.
 TOP_NODES = 256
 SEED = 20240229
@@ -123,17 +129,30 @@ def block_table(goals: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
 # --- streams ---------------------------------------------------------------------
 
 
+def told_apart(rows: DataFrame, chunk: int = COPIES) -> DataFrame:
+    """``rows`` with ``copy``, which numbers equal ones; they are counted first and never meet as rows."""
+    names = rows.columns
+    counts = rows.groupBy(*names).agg(F.count("*").alias("copies"))
+    # A row with very many copies is dealt out in chunks before it is made that many again.
+    parts = counts.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(chunk).cast("long"))))
+    parts = parts.repartition(F.col("first"), *(F.col(c) for c in names[:2])) if counts.where(F.col("copies") > chunk).limit(1).count() else parts
+    copies = F.sequence(F.col("first"), F.least(F.col("first") + chunk, F.col("copies")) - 1)
+    return parts.select(*names, F.explode(copies).alias("copy"))
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", extra: list[Column] | None = None, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken, shards and words (by reading).
+    """One row per document: doc_id, size, source, source_size, target, taken, copy, shards and words (by reading).
 
     ``shards[e]`` and ``words[e]`` tell which shard reads the document in the
     stream's reading ``e``, and how many of its words.  ``extra`` columns, such
-    as row names, ride along.
+    as row names, ride along.  Documents that are equal in all of these differ
+    in ``copy``, and so in their place in the stream.
     """
     extra = extra or []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(text)).alias("order"), *extra)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash"), *extra)
+    names = [c for c in rows.columns if c not in ("doc_id", "source", "size", "text_hash")]
+    rows = told_apart(cut_lineage(rows)).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "copy")).drop("text_hash")
     rows = cut_lineage(rows)
-    names = [c for c in rows.columns if c not in ("doc_id", "source", "size", "order")]
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     goals = targets(sums.select("source", "source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
@@ -147,7 +166,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     totals = rows.groupBy("source_rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     offset = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source_rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.withColumn("bucket_begin", offset).select("source_rank", "bucket", "bucket_begin")
-    within = W.partitionBy("source_rank", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source_rank", "bucket").orderBy("order", "doc_id", "size", "copy").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("begin_in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source_rank", "bucket"])
     rows = rows.withColumn("begin", F.col("bucket_begin") + F.col("begin_in_bucket"))
     for e in range(MOST):
@@ -159,7 +178,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         rows = rows.join(owner, ["source_rank", f"block{e}"], "left").withColumn(f"words{e}", F.when(F.col(f"shard{e}").isNull(), F.lit(0)).otherwise(F.col(f"words{e}")))
     taken = sum((F.col(f"words{e}") for e in range(MOST)), F.lit(0)).cast("long")
     readings = {"shards": F.array(*(F.col(f"shard{e}") for e in range(MOST))), "words": F.array(*(F.col(f"words{e}") for e in range(MOST)))}
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *(v.alias(k) for k, v in readings.items()), *names)
+    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "copy", *(v.alias(k) for k, v in readings.items()), *names)
 
 
 @F.pandas_udf(STRING)
@@ -182,17 +201,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     A document that the target cuts off ends after its last taken word.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    names = [F.xxhash64(*columns).alias("__a"), F.hash(*columns).alias("__b")]
+    names = [F.xxhash64(*columns).alias("a"), F.hash(*columns).alias("b")]
     plan = mix(docs, text, doc_id, source, extra=names, seed=seed)
-    entry = F.struct("taken", "size", F.arrays_zip("shards", "words").alias("reads"))
-    # Rows that are equal in all columns share a name; each takes one entry of the name's list.
-    plan = plan.groupBy("__a", "__b").agg(F.sort_array(F.collect_list(entry)).alias("__plan"))
-    rows = docs.select(*columns, *names).join(plan, ["__a", "__b"])
-    rows = rows.withColumn("__copy", F.row_number().over(W.partitionBy("__a", "__b").orderBy("__a")))
-    rows = rows.withColumn("__entry", F.element_at("__plan", F.col("__copy"))).drop("__plan")
-    rows = rows.withColumn("__read", F.explode(F.filter("__entry.reads", lambda r: r["words"] > 0)))
-    cut = cut_to_words(F.when(F.col("__read.words") < F.col("__entry.size"), F.col(text)), F.col("__read.words"))
-    rows = rows.withColumn(text, F.coalesce(cut, F.col(text)))
-    order = F.xxhash64(F.lit(seed + 1), "__a", "__copy", "__read.words")
-    rows = rows.repartition(F.col("__read.shards")).sortWithinPartitions("__read.shards", order)
-    return rows.select(*columns)
+    reads = F.filter(F.arrays_zip("shards", "words"), lambda r: r["words"] > 0)
+    plan = plan.select("a", "b", "copy", "size", F.explode(reads).alias("read"))
+    # Rows that are equal in all columns share a name; one of them stands for all, once for each reading of each copy.
+    rows = docs.select(row_of(docs).alias("row"), *names).withColumn("nth", F.row_number().over(W.partitionBy("a", "b").orderBy("a"))).where("nth = 1")
+    rows = rows.drop("nth").join(plan, ["a", "b"])
+    whole = F.col("row").getField(text)
+    cut = cut_to_words(F.when(F.col("read.words") < F.col("size"), whole), F.col("read.words"))
+    rows = rows.withColumn("cut", F.coalesce(cut, whole))
+    order = F.xxhash64(F.lit(seed + 1), "a", "copy", "read.words")
+    rows = rows.repartition(F.col("read.shards")).sortWithinPartitions("read.shards", order)
+    return rows.select(*(F.col("cut").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
