@@ -12,12 +12,15 @@ between words, which has a vector of its own.  Training takes about
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0;
 ties go to the language that sorts first; with nothing to learn from, every
-text is ``und``.  Each row gives one row.  Null ids are never trained on.
+text is ``und``.  Each row gives one row, repeated rows included, and an empty
+table none.  Texts are read whole, whatever their length.  Null ids are never
+trained on.  Any number of languages is learned and compared.  A column named
+language is replaced, all others stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import hash_share
+from quarryline.llm.common import DOUBLE, STRING, attach, cut_lineage, hash_share, record, row_of
 
 DIMENSIONS = 1024
 N = 3
@@ -34,8 +37,12 @@ SEED = 97
 PER_LANGUAGE = 3000
 #: Rows of n-gram vectors that a worker keeps (each of DIMENSIONS bytes).
 KEPT_NGRAMS = 40_000
-#: Prototypes are held by the driver and every task: one row of DIMENSIONS floats for each language.
-MOST_LANGUAGES = 10_000
+#: Bytes of prototypes that the driver and every task hold at once.
+BLOCK_BYTES = 64 << 20
+#: Sums by language that a training task holds.
+HELD_SUMS = 2000
+#: Parts of a unit vector's component, so that sums don't depend on their order.
+UNITS = 1 << 30
 GAP = 32
 UNKNOWN = "und"
 
@@ -114,49 +121,77 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder() -> Encoder:
-    return Encoder()
+def encoder(dimensions: int = DIMENSIONS) -> Encoder:
+    return Encoder(dimensions)
 
 
-def partial_prototypes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[str, np.ndarray] = {}
-    for rows in batches:
-        for text, lang in zip(rows["text"], rows["lang"], strict=True):
-            vector = encoder().bundle(text)
-            if vector is not None:
-                sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
-    for lang, vector in sums.items():
-        yield pd.DataFrame({"lang": lang, "place": np.arange(len(vector)), "v": vector})
+def in_units(vector: np.ndarray) -> np.ndarray:
+    return np.rint(vector.astype(np.float64) * UNITS).astype(np.int64)
 
 
-def learn(docs: DataFrame, text: str, lang: str, doc_id: str, train: Column, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Unit prototypes by language."""
+def summed(dimensions: int) -> Callable:
+    """(lang, place, v): sums of unit vectors by language; a task holds about HELD_SUMS of them at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+
+        def parts() -> Iterator[pd.DataFrame]:
+            for lang, vector in sums.items():
+                yield pd.DataFrame({"lang": lang, "place": np.arange(len(vector)), "v": vector})
+            sums.clear()
+
+        for rows in batches:
+            for text, lang in zip(rows["text"], rows["lang"], strict=True):
+                vector = encoder(dimensions).bundle(text)
+                if vector is not None:
+                    sums[lang] = sums.get(lang, 0) + in_units(vector)
+                if len(sums) > HELD_SUMS:
+                    yield from parts()
+        yield from parts()
+
+    return run
+
+
+def learn(docs: DataFrame, text: str, lang: str, doc_id: str, train: Column, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(lang, vector): the sum of the training texts' unit vectors of each language, in whole UNITS."""
     rows = docs.where(train & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return {}
-    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    sampled = rows.where(hash_share([doc_id], 5, shares[F.col(lang)])).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sums = sampled.mapInPandas(partial_prototypes, "lang string, place int, v double").groupBy("lang", "place").agg(F.sum("v").alias("v"))
-    # Rounded, as the order of a sum's terms may differ from run to run.
-    out: dict[str, np.ndarray] = {}
-    for r in sums.select("lang", "place", F.round("v", 6).alias("v")).collect():
-        out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["place"]] = r["v"]
-    return {k: (v / (np.linalg.norm(v) or 1)).astype(np.float32) for k, v in sorted(out.items())}
-
-
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: Column) -> DataFrame:
-    """``docs`` with a struct ``language`` of lang and score, by the text alone."""
-    names = list(prototypes)
-    matrix = np.array([prototypes[k] for k in names], np.float32).reshape(-1, DIMENSIONS)
-
-    @F.pandas_udf("lang string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    rows = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    shared = attach(rows, cut_lineage(counts), ["lang"])
+    sampled = shared.where(hash_share(["id"], 5, F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")))).select("text", "lang")
+    sums = sampled.mapInPandas(summed(dimensions), "lang string, place int, v long").groupBy("lang", "place").agg(F.sum("v").alias("v"))
+    vectors = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("parts"))  # one entry for each dimension
+    return cut_lineage(vectors.select("lang", F.col("parts.v").alias("vector")))
+
+
+def blocks_of(prototypes: DataFrame, dimensions: int, most_bytes: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Names and unit prototypes in the order of the languages, in blocks of at most so many bytes of vectors."""
+    size = max(1, most_bytes // (8 * dimensions))
+    last = None
+    while True:
+        rest = prototypes if last is None else prototypes.where(F.col("lang") > last)
+        rows = rest.orderBy("lang").limit(size).toPandas()
+        if not len(rows):
+            return
+        vectors = np.stack(rows["vector"].to_list()).astype(np.float64)
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        yield rows["lang"].to_list(), (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
+        last = rows["lang"].iloc[-1]
+        if len(rows) < size:
+            return
+
+
+JUDGED = record(lang=STRING, score=DOUBLE)
+
+
+def judge(names: list[str], matrix: np.ndarray) -> Callable[[Column], Column]:
+    dimensions = matrix.shape[1]
+
+    @F.pandas_udf(JUDGED)
+    def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            vector = encoder().bundle(t)
+            vector = encoder(dimensions).bundle(t)
             if vector is None or not names:
                 out.append((UNKNOWN, 0.0))
                 continue
@@ -165,4 +200,23 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: Column) ->
             out.append((names[best], float(min(1.0, max(0.0, round(float(cosines[best]), 6))))))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("language", judge(text))
+    return run
+
+
+def predict(docs: DataFrame, prototypes: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with a struct ``language`` of lang and score, by the text alone.
+
+    Prototypes beyond ``most_bytes`` are compared block by block, the best so
+    far being settled between blocks; a later language must be better by the
+    rounded score, so blocks don't change a prediction.
+    """
+    rows = docs.select(row_of(docs, ["language"]).alias("row"), F.col(text).alias("text"))
+    language = None
+    for names, matrix in blocks_of(prototypes, dimensions, most_bytes):
+        if language is not None:
+            rows = cut_lineage(rows.select("row", "text", language.alias("best")))
+        found = judge(names, matrix)(F.col("text"))
+        language = found if "best" not in rows.columns else F.when(found["score"] > F.col("best.score"), found).otherwise(F.col("best"))
+    if language is None:
+        language = judge([], np.zeros((0, dimensions), np.float32))(F.col("text"))
+    return rows.select("row", language.alias("language")).select("row.*", "language")
