@@ -14,7 +14,11 @@ length says, verifies checksums, reads the Xing table and returns duration in
 samples, the offset of every frame and the frames' free bytes.
 
 Edge cases: a null text is empty; its payload is 64 zero bytes.  Bytes that
-hold no frame give an empty reading.  Equal texts give equal values.
+hold no frame give an empty reading; null bytes count as empty.  A tag of
+another writer that names no number leaves all free bytes as the payload.
+Equal texts give equal values; texts are stored whole, whatever their length.
+Every row gives one row and an empty table none; columns named like outputs
+are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarryline.llm.common import DOUBLE, LONG, STRING, record
+from quarryline.llm.common import DOUBLE, LONG, STRING, record, row_of
 
 #: Fixed values of the format: kbit/s by index for Layer III, sample rates by index.
 BIT_RATES = {3: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], 2: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
@@ -142,8 +146,9 @@ class Reading:
 
     @property
     def payload(self) -> bytes:
-        """The free bytes, as far as the tag says."""
-        return self.free[: int(self.tags.get("payload", len(self.free)))]
+        """The free bytes, as far as the tag says; all of them where it says nothing or no number."""
+        told = self.tags.get("payload", "")
+        return self.free[: int(told)] if re.fullmatch("[0-9]{1,18}", told) else self.free
 
 
 def read_tag(data: bytes) -> tuple[dict[str, str], int]:
@@ -266,12 +271,9 @@ def probe(media: pa.Array) -> pa.Array:
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_bytes and media (the stored stream)."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "media")]
-    return docs.select(*own, store(F.col(text)).alias("__stored")).select(*own, "__stored.n_bytes", "__stored.media")
+    return docs.select(row_of(docs, ["n_bytes", "media"]).alias("row"), store(F.col(text)).alias("stored")).select("row.*", "stored.n_bytes", "stored.media")
 
 
 def probed(rows: DataFrame) -> DataFrame:
     """Rows with a media column, read back."""
-    names = PROBE.names
-    own = [F.col(f"`{c}`") for c in rows.columns if c not in names]
-    return rows.select(*own, probe(F.col("media")).alias("__read")).select(*own, "__read.*")
+    return rows.select(row_of(rows, PROBE.names).alias("row"), probe(F.col("media")).alias("read")).select("row.*", "read.*")

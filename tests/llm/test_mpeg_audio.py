@@ -35,6 +35,18 @@ def test_resynchronisation_tags_and_checksums():
     assert M.read_stream(b"no frame here").offsets == [] and M.read_stream(b"").payload == b""
 
 
+@pytest.mark.parametrize("told", [b"3x0", b"", b"-4", b"9" * 30, "٣".encode()])
+def test_a_foreign_tag_is_no_length(told):
+    """A tag that names no number, as other writers may, leaves all free bytes."""
+    stream = M.write_stream(bytes(range(200)))
+    body = b"\x03payload\0" + told
+    tag = b"TXXX" + M.synchsafe(len(body)) + b"\0\0" + body
+    foreign = b"ID3\x04\0\0" + M.synchsafe(len(tag)) + tag + stream[M.read_tag(stream)[1] :]
+    read = M.read_stream(foreign)
+    assert read.payload == read.free and read.payload.startswith(bytes(range(200)))
+    assert M.probed_row(foreign)[7] == 1
+
+
 def test_headers_of_other_versions():
     assert M.read_header(bytes([0xFF, 0xFB, 0x90, 0x00])).length == 417
     assert M.read_header(bytes([0xFF, 0xF3, 0x80, 0xC0])).length == 208
