@@ -12,7 +12,9 @@ The raw counts cover all documents.  The trusted counts come from at most
 
 Edge cases: a null or empty text has no words and fails the rules; a text
 with no n-gram scores 0; without trusted documents all log ratios are 0.
-Each row gives one row; columns named like outputs are replaced.
+Each row gives one row, repeated rows and ids included; an empty table gives
+none.  Texts are read whole, whatever their length.  A ratio at the threshold
+is kept.  Columns named like outputs are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import GAP, WORD
+from quarryline.llm.common import GAP, WORD, row_of
 
 BUCKETS = 4096
 TRUSTED_ROWS = 20_000
@@ -99,9 +101,10 @@ def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
 def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> list[float]:
     """log p_trusted - log p_raw of every bucket, in one pass over the corpus."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q > 0")
-    trusted = good.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(trusted_rows).select(F.col("doc_id").alias("__trusted"))
-    marked = docs.join(F.broadcast(trusted), F.col(doc_id) == F.col("__trusted"), "left").withColumn("__words", words_of(F.col(text)))
-    grams = marked.select(F.col("__trusted").isNotNull().alias("good"), F.explode(buckets_of(F.col("__words"), buckets)).alias("bucket"))
+    trusted = good.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(trusted_rows).select(F.col("doc_id").alias("trusted"))
+    read = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    marked = read.join(F.broadcast(trusted), F.col("id") == F.col("trusted"), "left").withColumn("words", words_of(F.col("text")))
+    grams = marked.select(F.col("trusted").isNotNull().alias("good"), F.explode(buckets_of(F.col("words"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("good")).collect()  # at most `buckets` rows
     raw, trusted_n = [0] * buckets, [0] * buckets
     for r in counts:
@@ -115,7 +118,6 @@ def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the rule columns, llr and kept."""
     outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in outputs]
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
 
     def mean_ratio(grams: Column) -> Column:
@@ -130,4 +132,4 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
         llr = let(buckets_of(words, len(ratios)), mean_ratio)
         return let(rule_values(F.col(text), words), lambda rules: let(llr, lambda value: verdict(rules, value)))
 
-    return docs.select(*own, let(words_of(F.col(text)), judged).alias("__verdict")).select(*own, "__verdict.*")
+    return docs.select(row_of(docs, outputs).alias("row"), let(words_of(F.col(text)), judged).alias("verdict")).select("row.*", "verdict.*")

@@ -21,7 +21,10 @@ checkpointed tables.
 Edge cases: a null or wordless text has fingerprint zero, linked like any
 other.  Rows that repeat an id stay separate rows; a null id joins a group
 but never names it unless the group has no other id (then component_id is
-null).  An empty table gives an empty result.
+null).  An empty table gives an empty result.  Texts are read whole, whatever
+their length.  Of a group's rows the one of least id stays, ties going by the
+hashes of the whole row.  ``keep_one`` returns the columns of its input, of
+whatever names; ``near_duplicates`` carries no other columns over.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.llm import shingles
-from quarryline.llm.common import LONG, cut_lineage
+from quarryline.llm.common import LONG, cut_lineage, row_of
 from quarryline.llm.components import components
 
 RADIUS = 2
@@ -226,7 +229,7 @@ def link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join exactly the nodes within RADIUS bits into sets."""
-    sharded = shards(nodes).select(F.col("shard.path").cast("int").alias("path"), F.col("shard.value").alias("value"), "node")
+    sharded = shards(nodes).select(F.concat(F.lit("1"), "shard.path").cast("int").alias("path"), F.col("shard.value").alias("value"), "node")
     dealt = sharded.repartition("path", "value").sortWithinPartitions("path", "value", "node")
     return dealt.mapInArrow(link_shards, "a long, b long").distinct()
 
@@ -255,13 +258,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     names chosen.  Of exactly repeated rows, which share a name, one stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.withColumns({"__a": F.xxhash64(*columns), "__b": F.hash(*columns)})
-    key = F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), "__a", "__b")
-    texts = named.select("__a", "__b", key.alias("key"), F.col(text).alias("text"))
+    named = docs.select(row_of(docs).alias("row"), F.xxhash64(*columns).alias("__a"), F.hash(*columns).alias("__b"))
+    own = lambda name: F.col("row").getField(name)
+    key = F.struct(own(doc_id).isNull().alias("no"), own(doc_id).alias("id"), "__a", "__b")
+    texts = named.select("__a", "__b", key.alias("key"), own(text).alias("text"))
     firsts, links = shingles.similar(texts)
     member = cut_lineage(components(links))
     grouped = firsts.join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     chosen = grouped.select("first.__a", "first.__b")
     found = named.join(chosen, ["__a", "__b"], "left_semi")
     copy = F.row_number().over(W.partitionBy("__a", "__b").orderBy("__a"))
-    return found.withColumn("__copy", copy).where("__copy = 1").select(*columns)
+    return found.withColumn("copy", copy).where("copy = 1").select("row.*")

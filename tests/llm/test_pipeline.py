@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from quarryline.llm import quality_bayes, quality_llr
 from tests.llm.test_mixing import WORD, water
 from tests.llm.test_quality import base
-from tests.llm.test_simhash import fingerprint, groups
+from tests.llm.test_shingles import kept_ids
 
 pytestmark = pytest.mark.skipif(find_spec("corpus_pipeline") is None, reason="no pipeline")
 
@@ -44,7 +44,7 @@ def stages(spark, tmp_path_factory):
     module = importlib.import_module("corpus_pipeline")
     docs, out = spark.read.parquet(str(folder / "documents.parquet")), []
     for name, stage in module.STAGES:
-        made = module.stored(stage(spark, docs, str(folder)))
+        made, _ = module.stored(stage(spark, docs, str(folder)))
         out.append((name, docs, made))
         docs = made
     return out, labels
@@ -63,10 +63,11 @@ def test_columns_stay(stages):
 def test_classifier_against_its_formula(stages):
     (_, before, after), labels = stages[0][0], stages[1]
     marks = before.sparkSession.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = quality_bayes.fit(before, marks, "text", "doc_id", F.col("source"), F.col("lang"))
+    evidence = quality_bayes.learn(before, marks, "text", "doc_id")
+    sites = quality_bayes.fit_sites(quality_bayes.read(before, evidence, "text", F.col("source"), F.col("lang")))
     rows = before.collect()
-    odds = {r["doc_id"]: float(np.dot(model.weights, quality_bayes.features(r["text"] or "")) + model.intercept) for r in rows}
-    p = {i: 1 / (1 + math.exp(-x)) for i, x in odds.items()}
+    odds = {r["doc_id"]: float(np.dot(evidence.weights, quality_bayes.features(r["text"] or "", evidence.ratios)) + evidence.intercept) for r in rows}
+    p = {i: round(1e6 / (1 + math.exp(-x))) / 1e6 for i, x in odds.items()}
     good, n, path_good, path_n = Counter(), Counter(), Counter(), Counter()
     for r in rows:
         good[r["source"]] += p[r["doc_id"]]
@@ -74,15 +75,15 @@ def test_classifier_against_its_formula(stages):
         path_good[r["source"], r["lang"]] += p[r["doc_id"]]
         path_n[r["source"], r["lang"]] += 1
     prior = (sum(good.values()) + 1) / (len(rows) + 2)
-    assert prior == pytest.approx(model.prior)
+    assert prior == pytest.approx(sites.prior)
     logit = lambda x: math.log(x / (1 - x))
+    bounded = lambda x: min(1 - 1e-6, max(1e-6, x))
     kept = []
     for r in rows:
         i, host, path = r["doc_id"], r["source"], (r["source"], r["lang"])
-        above = (model.host_strength * prior + good[host] - p[i]) / (model.host_strength + n[host] - 1)
-        site = (model.path_strength * above + path_good[path] - p[i]) / (model.path_strength + path_n[path] - 1)
-        move = max(-quality_bayes.SITE_WEIGHT, min(quality_bayes.SITE_WEIGHT, logit(site) - logit(prior)))
-        if (r["text"] or "").strip() and 1 / (1 + math.exp(-(odds[i] - model.base + logit(prior) + move))) >= quality_bayes.THRESHOLD:
+        above = bounded((sites.host_strength * prior + good[host] - p[i]) / (sites.host_strength + n[host] - 1))
+        site = bounded((sites.path_strength * above + path_good[path] - p[i]) / (sites.path_strength + path_n[path] - 1))
+        if (r["text"] or "").strip() and 1 / (1 + math.exp(-(odds[i] - evidence.base + logit(site)))) >= quality_bayes.THRESHOLD:
             kept.append(i)
     assert ids(after) == sorted(kept)
     assert 100 <= len(kept) < len(rows)
@@ -108,8 +109,7 @@ def test_rules_against_counts(stages):
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[0][2]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
-    label = groups([fingerprint(t) for _, t in rows])
-    assert ids(after) == sorted({rows[x][0] for x in label})
+    assert ids(after) == kept_ids(rows)
 
 
 def test_mix_comes_to_its_targets(stages):
