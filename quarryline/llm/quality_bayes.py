@@ -110,8 +110,9 @@ DEFAULT_INTERCEPT = 4.0
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton steps for ridge logistic regression; the last weight is the intercept, which isn't penalised."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Newton steps for ridge logistic regression on features of one spread; the last weight is the intercept, which isn't penalised."""
+    spread = np.where((sd := x.std(axis=0)) > 1e-9, sd, 1.0)
+    x = np.column_stack([x / spread, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-9])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -119,7 +120,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w / np.append(spread, 1.0)
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
