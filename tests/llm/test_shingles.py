@@ -91,6 +91,21 @@ def test_large_group_of_near_copies(spark):
     assert kept(spark, rows) == want
 
 
+def test_sets_are_those_of_the_words(monkeypatch):
+    """As many hashes as different shingles, the same for the same words, however a text is cut into segments."""
+    rng = random.Random(2)
+    words = ["a", "b", "ab", "ba", "été", "A\u00a0b", "x" * 90, "\x00", "\x1f"]
+    texts = ["", " \t", "a", " a  b ", "x" * 500] + ["".join(w + rng.choice([" ", "\n", "\t ", "\x0b", "\r\n"]) for w in rng.choices(words, k=rng.randrange(1, 120))) for _ in range(200)]
+    whole = [shingles.shingle_set(t).tolist() for t in texts]
+    assert [len(h) for h in whole] == [len(grams(t)) for t in texts]
+    named = {}
+    for t, h in zip(texts, whole):
+        assert named.setdefault(frozenset(grams(t)), h) == h
+    assert shingles.shingle_set("A b C d e F").tolist() == shingles.shingle_set("a  b c\nd e f ").tolist()
+    monkeypatch.setattr(shingles, "SEGMENT", 40)
+    assert [shingles.shingle_set(t).tolist() for t in texts] == whole
+
+
 def test_first_shingles_of_similar_sets_meet():
     rng = random.Random(6)
     for _ in range(2000):
