@@ -51,6 +51,8 @@ LEVELS = 4
 #: Rows of whole shards that are searched together, and tree visits made at once.
 FOREST_ROWS = 50_000
 VISITS = 1_000_000
+#: Bytes of names that may be broadcast, and of one name as a broadcast holds it.
+MOST_BROADCAST, NAME_BYTES = 64 << 20, 40
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -254,18 +256,28 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Groups are the connected components of the texts whose sets of five-word
     shingles have a similarity of 0.8 or more (``shingles``), and not of the
     fingerprints.  Rows are named by two hashes over all their columns.  Names
-    and nodes settle which rows stay; texts are shuffled to be joined with the
-    names chosen.  Of exactly repeated rows, which share a name, one stays.
+    and nodes settle which rows stay.  The names of rows that go are broadcast
+    if they have at most ``MOST_BROADCAST`` bytes; beyond, texts are shuffled to
+    be joined with the names that stay.  Of exactly repeated rows, which share
+    a name, one stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(row_of(docs).alias("row"), F.xxhash64(*columns).alias("__a"), F.hash(*columns).alias("__b"))
     own = lambda name: F.col("row").getField(name)
     key = F.struct(own(doc_id).isNull().alias("no"), own(doc_id).alias("id"), "__a", "__b")
     texts = named.select("__a", "__b", key.alias("key"), own(text).alias("text"))
-    firsts, links = shingles.similar(texts)
+    firsts, links, keys = shingles.similar(texts)
     member = cut_lineage(components(links))
     grouped = firsts.join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    chosen = grouped.select("first.__a", "first.__b")
-    found = named.join(chosen, ["__a", "__b"], "left_semi")
-    copy = F.row_number().over(W.partitionBy("__a", "__b").orderBy("__a"))
-    return found.withColumn("copy", copy).where("copy = 1").select("row.*")
+    chosen = grouped.select("first.__a", "first.__b", F.lit(True).alias("chosen"))
+    counts = keys.groupBy("key.__a", "key.__b").agg(F.count("*").alias("n"))
+    odd = cut_lineage(counts.join(chosen, ["__a", "__b"], "left").where("chosen IS NULL OR n > 1"))
+    one_each = lambda rows: rows.withColumn("nth", F.row_number().over(W.partitionBy("__a", "__b").orderBy("__a"))).where("nth = 1").select("row")
+    if odd.count() * NAME_BYTES > MOST_BROADCAST:
+        return one_each(named.join(chosen.drop("chosen"), ["__a", "__b"], "left_semi")).select("row.*")
+    # Few names go or stand for several rows: texts need no shuffle but for rows that are repeated.
+    out = named.join(F.broadcast(odd.select("__a", "__b")), ["__a", "__b"], "left_anti").select("row")
+    again = odd.where("chosen AND n > 1").select("__a", "__b")
+    if not again.isEmpty():
+        out = out.unionByName(one_each(named.join(F.broadcast(again), ["__a", "__b"], "left_semi")))
+    return out.select("row.*")

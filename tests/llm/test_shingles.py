@@ -81,6 +81,15 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, long_posting):
     assert kept(spark, rows) == want
 
 
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_repeated_rows_leave_one(spark, monkeypatch, most):
+    """With names broadcast, and with texts shuffled to them."""
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+    rows = [(1, "a b c")] * 4 + [(None, "a b c")] * 3 + [(2, "d e f")] * 2 + [(3, "g"), (None, "h i")] + [(5, None)] * 2 + [(4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == sorted([(1, "a b c"), (2, "d e f"), (3, "g"), (None, "h i"), (4, "")], key=str)
+
+
 def test_large_group_of_near_copies(spark):
     """Pairs of one base on both sides of 0.8, more than a posting lists."""
     rng = random.Random(4)
