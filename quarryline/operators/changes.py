@@ -182,6 +182,21 @@ def purge_vectors(vectors: DataFrame, document: tuple[str, str], manifest: DataF
     return vectors.where(~((F.col("document_id") == document_id) & (F.col("tenant_id") == tenant_id)))
 
 
+def to_purge(documents: DataFrame, repositories: DataFrame, tenant_id: str, target: str | None = None, repository: str | None = None, **equal: str) -> DataFrame:
+    """A tenant's documents that a purge is for: by document_id, source_path or status (``equal``), by the repository's
+    name, and with a ``target`` folder those whose repository lies elsewhere."""
+    homes = repositories.where(F.col("tenant_id") == tenant_id).select("repository_id", F.col("name").alias("repository"), "uri")
+    rows = documents.where(F.col("tenant_id") == tenant_id).join(homes, "repository_id")
+    for name, value in equal.items():
+        rows = rows.where(F.col(name) == value)
+    if repository is not None:
+        rows = rows.where(F.col("repository") == repository)
+    if target is not None:
+        folder = F.rtrim(F.coalesce("uri", F.lit("")), F.lit("\\/"))
+        rows = rows.where(folder != target.rstrip("\\/"))
+    return rows.select("document_id", "source_path", "repository")
+
+
 def register_repositories(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Get or create by (tenant_id, name); the uri is refreshed, the id is kept."""
     joined = current.select("tenant_id", "name", F.col("repository_id").alias("old_id"), F.col("uri").alias("old_uri")).join(incoming.select("tenant_id", "name", "uri"), ["tenant_id", "name"], "full_outer")

@@ -471,6 +471,16 @@ def missing_from_store(spark, sf_dir):
     return changes.missing_from_store(points.select("document_id", "source_path"), points.where("doc_id % 6 <> 1")).select("document_id")
 
 
+@R.add(f"""WITH {DOCS_SQL} SELECT document_id, source_path, 'name of ' || source AS repository FROM docs
+WHERE tenant_id = 'tenant-1' AND doc_id % 5 = 2 AND (source = 'none' OR NOT ends_with(source, '7'))""")
+def purge_selection(spark, sf_dir):
+    state = F.when(F.col("doc_id") % 5 == 2, "deleted").otherwise("active")
+    rows = documents(spark, sf_dir).select("document_id", "source_path", "tenant_id", F.col("source").alias("repository_id"), state.alias("status"))
+    uri = F.when(F.endswith("repository_id", F.lit("7")), "/data/docs//").when(F.col("repository_id") != "none", F.concat(F.lit("/data/"), "repository_id", F.lit("/")))
+    homes = rows.select("tenant_id", "repository_id", F.concat(F.lit("name of "), "repository_id").alias("name"), uri.alias("uri")).distinct()
+    return changes.to_purge(rows, homes, "tenant-1", target="/data/docs/", status="deleted")
+
+
 @R.add(f"WITH {DOCS_SQL} SELECT DISTINCT source AS repository_id FROM docs WHERE source NOT IN (SELECT source FROM docs WHERE doc_id % 40 = 3)")
 def orphaned_repositories(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("repository_id"))

@@ -260,3 +260,15 @@ def test_metrics(spark):
 def test_publication_names(spark):
     df = spark.createDataFrame([(" BAAI/bge-m3 ", 1024)], "m string, d int")
     assert df.select(publishing.collection_name("kb", F.lit("hf"), F.col("m"), F.col("d"))).first()[0] == "kb__hf__baai_bge_m3__d1024"
+
+
+def test_lines_open_blocks_and_runs_go_on():
+    text = "---\ntitle: \"a \\\"b\\\"\"\n---\n# A\nfirst\n#no heading\n- x\n  y\n\n| a | b |\n|---|---|\n| 1 |\n> note: q\n>> r\n```py\n# code\n```\n## B\n![i](u)\ntail"
+    found = markdown.parse(text)
+    assert found["front_matter"] == {"title": 'a "b"'}
+    assert [(b["block_type"], b["text"], b["section_id"]) for b in found["blocks"]] == [
+        ("heading", "A", "SEC-1"), ("paragraph", "first", "SEC-1"), ("paragraph", "#no heading", "SEC-1"), ("list", "- x\n  y", "SEC-1"), ("table", "a b\n1", "SEC-1"), ("note", "note: q\nr", "SEC-1"),
+        ("code", "# code", "SEC-1"), ("heading", "B", "SEC-2"), ("image", "i", "SEC-2"), ("paragraph", "tail", "SEC-2"),
+    ]
+    assert found["sections"][1]["breadcrumb"] == "A > B"
+    assert markdown.parse("---\nopen: end") == {"front_matter": {"open": "end"}, "blocks": [], "sections": []} and markdown.parse("```\nopen")["blocks"][0]["text"] == "open"
