@@ -15,6 +15,9 @@ from quarryline.session import settle
 #: Stages in order with the asset that each makes and its mark.
 STAGES = [("markdown", "T"), ("intelligence", "I"), ("chunks", "C"), ("embedding", "E"), ("vector", "P")]
 ACTIVE = ["queued", "running"]
+#: States from which a job may be requeued, and errors that tell of a lost payload.
+RECOVERABLE = ["dead_letter", "failed"]
+LOST_PAYLOAD = ["payload unavailable", "missing_markdown", "missing_chunks"]
 ERROR_CHARS = 4000
 #: Order of the status board.
 BOARD = ["dead_letter", "running", "waiting", "queued", "complete", "deleted"]
@@ -77,6 +80,30 @@ def requeued(jobs: DataFrame, now: Column) -> DataFrame:
     return _unlocked(back, "queued").withColumns({"attempts": F.lit(0), "available_at": now, "last_error": F.lit(None).cast("string")})
 
 
+def to_requeue(jobs: DataFrame, tenant_id: str, job_id: int | str | None = None, document_id: str | None = None) -> DataFrame:
+    """A tenant's jobs that a requeue is for: one job, those of one document, or all dead and failed ones."""
+    own = jobs.where(F.col("tenant_id") == tenant_id)
+    if job_id is not None:
+        return own.where(F.col("job_id") == job_id)
+    if document_id is not None:
+        return own.where(F.col("document_id") == document_id)
+    return own.where(F.col("status").isin(*RECOVERABLE))
+
+
+def lost_payloads(jobs: DataFrame, sources: DataFrame, tenant_id: str) -> DataFrame:
+    """A tenant's dead ingest jobs whose error names a lost payload, and whether their source is staged.
+
+    ``sources`` has tenant_id and document_id.  Jobs with a source can start
+    again once their document's assets are gone (``changes.cascade_delete``).
+    """
+    lost = F.lit(False)
+    for sign in LOST_PAYLOAD:
+        lost = lost | F.coalesce(F.contains("last_error", F.lit(sign)), F.lit(False))
+    dead = jobs.where((F.col("tenant_id") == tenant_id) & (F.col("kind") == "ingest") & (F.col("status") == "dead_letter") & lost)
+    staged = sources.where(F.col("tenant_id") == tenant_id).select("document_id").distinct().withColumn("recoverable", F.lit(True))
+    return dead.join(staged, "document_id", "left").withColumn("recoverable", F.coalesce("recoverable", F.lit(False)))
+
+
 def heartbeat(jobs: DataFrame, worker: str, now: Column) -> DataFrame:
     held = (F.col("status") == "running") & (F.col("locked_by") == worker)
     return jobs.withColumn("locked_at", F.when(held, now).otherwise(F.col("locked_at")))
@@ -169,9 +196,16 @@ def stage_progress(updates: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("processed") >= F.col("total"), "completed").otherwise("running"))
 
 
-def breaker_states(calls: DataFrame, key: str, threshold: int = 5) -> DataFrame:
-    """Calls (ts, ok) with the failures in a row up to each, and whether the breaker opens there."""
+def breaker_states(calls: DataFrame, key: str, threshold: int = 5, reset_seconds: float = 30.0) -> DataFrame:
+    """Calls (ts, ok) with the failures in a row up to each, whether the breaker opens there, and the state that each met.
+
+    A breaker is open after ``threshold`` failures in a row; from
+    ``reset_seconds`` after the last of them on it is half open.
+    """
     ordered = W.partitionBy(key).orderBy("ts", "event_id")
     calls = calls.withColumn("__run", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(ordered))
     streak = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(W.partitionBy(key, "__run").orderBy("ts", "event_id"))
-    return calls.withColumn("failures_in_row", streak).withColumn("opens", F.col("failures_in_row") == threshold).drop("__run")
+    calls = calls.withColumn("failures_in_row", streak).withColumn("opens", F.col("failures_in_row") == threshold)
+    tripped = F.coalesce(F.lag("failures_in_row").over(ordered) >= threshold, F.lit(False))
+    rested = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(ordered)) >= F.lit(round(reset_seconds * 1e6))
+    return calls.withColumn("met", F.when(~tripped, "closed").when(rested, "half_open").otherwise("open")).drop("__run")

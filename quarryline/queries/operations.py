@@ -60,6 +60,22 @@ def latest_jobs(spark, sf_dir):
     return rows.select("document_id", "job_id", "status")
 
 
+@R.add(f"WITH {JOBS_SQL} SELECT job_id, document_id, status, attempts FROM jobs WHERE tenant_id = 'tenant-1' AND status IN ('dead_letter', 'failed')")
+def requeue_selection(spark, sf_dir):
+    return jobs.to_requeue(job_rows(spark, sf_dir), "tenant-1").select("job_id", "document_id", "status", "attempts")
+
+
+@R.add(f"""WITH {JOBS_SQL}, sources AS (SELECT DISTINCT user_id::VARCHAR AS document_id FROM events WHERE user_id % 5 > 1),
+e AS (SELECT *, ['timeout', 'stage failed: missing_markdown', 'payload unavailable', NULL, 'missing_chunks in asset'][job_id % 5 + 1] AS last_error FROM jobs)
+SELECT job_id, document_id, document_id IN (SELECT document_id FROM sources) AS recoverable FROM e
+WHERE tenant_id = 'tenant-2' AND status = 'dead_letter' AND (contains(last_error, 'payload unavailable') OR contains(last_error, 'missing_markdown') OR contains(last_error, 'missing_chunks'))""")
+def lost_payload_recovery(spark, sf_dir):
+    errors = F.array(F.lit("timeout"), F.lit("stage failed: missing_markdown"), F.lit("payload unavailable"), F.lit(None).cast("string"), F.lit("missing_chunks in asset"))
+    rows = job_rows(spark, sf_dir).withColumn("last_error", F.get(errors, (F.col("job_id") % 5).cast("int")))
+    sources = rows.where(F.col("document_id").cast("long") % 5 > 1).select("tenant_id", "document_id")
+    return jobs.lost_payloads(rows, sources, "tenant-2").select("job_id", "document_id", "recoverable")
+
+
 ASSETS = [name for name, _ in jobs.STAGES]
 
 
@@ -127,6 +143,15 @@ def circuit_breaker(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.max("failures_in_row").alias("most_failures"), F.count_if("opens").alias("openings"))
 
 
+@R.add("""WITH c AS (SELECT user_id, event_id, ts, event_type <> 'error' AS ok, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+s AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS failures FROM c),
+l AS (SELECT *, lag(failures) OVER w AS before, lag(ts) OVER w AS last FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT met, count(*) AS calls, count(*) FILTER (WHERE ok) AS good FROM (SELECT ok, CASE WHEN before IS NULL OR before < 2 THEN 'closed' WHEN epoch_us(ts) - epoch_us(last) >= 86400000000 THEN 'half_open' ELSE 'open' END AS met FROM l) GROUP BY 1""")
+def breaker_probes(spark, sf_dir):
+    calls = events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
+    return jobs.breaker_states(calls, "user_id", 2, 86400.0).groupBy("met").agg(F.count("*").alias("calls"), F.count_if("ok").alias("good"))
+
+
 # --- state machines -------------------------------------------------------------------------
 
 STATES = ["registered", "connecting", "discovering", "synchronizing", "active"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,16 @@ def settle(df: DataFrame) -> DataFrame:
 
     It ends lineage, so a lost executor costs no earlier stage, and it ends the
     optimizer's view: filters on derived columns aren't pushed into copies of
-    the expressions they came from.  A folder of its own is set only where the
-    session names none, as in tests.
+    the expressions they came from.  A temporary folder is set only where a
+    session on one machine names none, as in tests; on a cluster every executor
+    would write to its own disk, so there the setting must be given.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
     return df.checkpoint()
 
 

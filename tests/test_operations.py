@@ -1,5 +1,6 @@
 """Exact values of governance, jobs, dialog, memory, gateway, streams and the catalog."""
 
+import importlib.util
 import datetime as dt
 import re
 
@@ -163,6 +164,27 @@ def test_order_of_tasks_and_cycles(spark):
         gateway.topological_order(spark.createDataFrame([("p", "a", 1, ["b"]), ("p", "b", 1, ["a"])], kind)).collect()
 
 
+def test_a_plan_of_many_tasks(spark):
+    kind = "plan_id string, task_id string, priority int, dependencies array<string>"
+    chain = [("p", f"t{i:02d}", 40 - i, [f"t{i - 1:02d}"] if i else []) for i in range(40)]
+    assert [r["task_id"] for r in gateway.topological_order(spark.createDataFrame(chain, kind)).orderBy("position").collect()] == [t[1] for t in chain]
+
+
+def test_selections_of_jobs_and_documents(spark):
+    kind = "job_id long, tenant_id string, document_id string, kind string, status string, last_error string"
+    rows = spark.createDataFrame([(1, "a", "d", "ingest", "failed", None), (2, "a", "d", "ingest", "queued", "x"), (3, "a", "e", "ingest", "dead_letter", "missing_chunks"), (4, "b", "d", "ingest", "dead_letter", "missing_chunks")], kind)
+    ids = lambda df: sorted(r["job_id"] for r in df.collect())
+    assert (ids(jobs.to_requeue(rows, "a")), ids(jobs.to_requeue(rows, "a", document_id="d")), ids(jobs.to_requeue(rows, "a", job_id=2)), ids(jobs.to_requeue(rows, "a", job_id=4))) == ([1, 3], [1, 2], [2], [])
+    lost = jobs.lost_payloads(rows, spark.createDataFrame([("b", "e")] * 2, "tenant_id string, document_id string"), "a")
+    assert [(r["job_id"], r["recoverable"]) for r in lost.collect()] == [(3, False)]
+
+
+def test_a_breaker_half_opens(spark):
+    rows = [(i, "k", f"2024-01-01 00:00:{s:02d}", ok) for i, (s, ok) in enumerate([(0, False), (1, False), (2, False), (40, False), (41, True), (42, True)])]
+    calls = spark.createDataFrame(rows, "event_id int, key string, t string, ok boolean").withColumn("ts", F.col("t").cast("timestamp"))
+    assert [r["met"] for r in jobs.breaker_states(calls, "key", 2).orderBy("event_id").collect()] == ["closed", "closed", "open", "half_open", "open", "closed"]
+
+
 def test_plans_and_echo(spark):
     tasks = gateway.plan_tasks(spark.createDataFrame([("p", "Fetch data and get approval"), ("q", "hum"), ("r", " ")], "plan_id string, objective string"))
     assert [(r["plan_id"], r["capability"]) for r in tasks.orderBy("plan_id", "priority").collect()] == [("p", "sql_querying"), ("p", "reasoning"), ("q", "reasoning")]
@@ -190,5 +212,5 @@ def test_streams(spark, tmp_path):
 def test_catalog_names_agree():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
-    if __spark_entry__.HAS_PIPELINE:
+    if importlib.util.find_spec("corpus_pipeline"):
         assert "pipeline" in queries and sum(n.startswith("op") for n in queries) == 10
