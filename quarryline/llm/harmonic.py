@@ -44,7 +44,7 @@ CAPACITY = 1024
 GRAIN = 32
 END_ID = 0
 #: Words whose tokens a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 #: Ids of sequences: the class in the upper bits, the bin below.
 BIN_BITS = 40
 LEFTOVER_CLASS = 2 * CAPACITY
