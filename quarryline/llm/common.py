@@ -46,6 +46,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of rows that travel to a Python worker at once.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that sets no bound itself to ``BATCH_BYTES``.
+
+    Spark's own bound of 64 MB leaves 10,000 rows together; such a batch of
+    texts is held several times over, in the executor's buffers and in a worker.
+    """
+    spark.conf.set(BATCH_SETTING, spark.conf.get(BATCH_SETTING, str(BATCH_BYTES)))
+
+
 def row_of(df: DataFrame, but: Iterable[str] = ()) -> Column:
     """All columns of ``df`` in one struct, so that no name of theirs meets a name used on the way."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in but))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarryline.llm.common import cut_lineage
+from quarryline.llm.common import bounded_batches, cut_lineage
 
 CAPACITY = 1024
 GRAIN = 32
@@ -179,6 +179,7 @@ def next_fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 def pack(docs: DataFrame, ranks: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Rows doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, task, row, and ids on demand."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind)])
     for name in NAMES[1:]:

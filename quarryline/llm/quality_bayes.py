@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import DOUBLE, attach, cut_lineage
+from quarryline.llm.common import DOUBLE, attach, bounded_batches, cut_lineage
 
 #: At most this many labelled documents teach the evidence.
 FIT_ROWS = 20_000
@@ -251,6 +251,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, host: C
 
     What is kept is settled with the evidence, so leave texts out where they aren't wanted.
     """
+    bounded_batches(docs.sparkSession)
     evidence = learn(docs, labels, text, doc_id)
     seen = read(docs, evidence, text, host, path, keep)
     return judge(seen, evidence, fit_sites(seen))

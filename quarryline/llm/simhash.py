@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.llm import shingles
-from quarryline.llm.common import LONG, cut_lineage, row_of
+from quarryline.llm.common import LONG, bounded_batches, cut_lineage, row_of
 from quarryline.llm.components import components
 
 RADIUS = 2
@@ -241,6 +241,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     marked = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("node")))
     firsts = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first")))
     member = cut_lineage(components(near_links(firsts.select("node"))))
