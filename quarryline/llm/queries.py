@@ -1,11 +1,11 @@
-"""The ten operators bound to the driver's tables, and the pipeline's stages."""
+"""The operators bound to the driver's tables, and the pipeline's stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import chat_trees, harmonic, html_consensus, langid_hd, mixing, mpeg_audio, quality_bayes, quality_llr, simhash, url_rules
+from quarryline.llm import chat_trees, harmonic, html_consensus, langid_hd, mixing, mpeg_audio, quality_bayes, quality_llr, simhash, tput_search, url_rules
 from quarryline.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -80,7 +80,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_ms", "n_frames", "frame_offsets", "bad_checksums")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns, op12_ranked_search)}
 
 ORACLES = {
     "op1_url_filter": r"""
@@ -111,4 +115,22 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op12_ranked_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_l FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * all_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term, all_n),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * all_n) // all_l))))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }
