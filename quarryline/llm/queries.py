@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import chat_trees, harmonic, html_consensus, langid_hd, mixing, mpeg_audio, quality_bayes, quality_llr, simhash, tput_search, url_rules
+from quarryline.llm import chat_trees, harmonic, html_consensus, langid_hd, mixing, mpeg_audio, quality_bayes, quality_llr, simhash, tput_search, turn_trie, url_rules
 from quarryline.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -84,7 +84,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tput_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns, op12_ranked_search)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = turn_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns, op12_ranked_search, op13_prefix_trie)}
 
 ORACLES = {
     "op1_url_filter": r"""
@@ -133,4 +138,39 @@ scored AS (
 )
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_prefix_trie": r"""
+WITH named AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role,
+         left(sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || chr(10) || coalesce(role, '') || chr(10) || coalesce(text, '')), 32) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, role, digest) AS digests, list(words ORDER BY turn NULLS FIRST, role, digest) AS counts
+  FROM named GROUP BY conv_id
+), shared AS (
+  -- CRC-32 of the decimal id, bit by bit
+  SELECT *, conv_id - conv_id % 20 AS source,
+         xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+             lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))) % 4 AS h
+  FROM own
+), rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(o.digests[1:s.h], []), s.digests[s.h + 1:]) AS digests, list_concat(coalesce(o.counts[1:s.h], []), s.counts[s.h + 1:]) AS counts
+  FROM shared s LEFT JOIN own o ON o.conv_id = s.source
+), members AS (
+  SELECT conv_id, d AS depth, array_to_string(digests[1:d], '') AS node, CASE WHEN d > 0 THEN array_to_string(digests[1:d - 1], '') END AS above,
+         CASE WHEN d > 0 THEN counts[d] ELSE 0 END AS words, d = len(digests) AS ends
+  FROM (SELECT *, unnest(range(len(digests) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY node
+), children AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+below AS (SELECT DISTINCT a.node AS node, b.node AS lower FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT below.node, sum((c.n_children = 0)::INT) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved_tokens
+  FROM below JOIN counted c ON c.node = below.lower GROUP BY below.node
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (node) LEFT JOIN nodes p ON p.node = c.above""",
 }
