@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import chat_trees, harmonic, html_consensus, langid_hd, mixing, mpeg_audio, quality_bayes, quality_llr, simhash, tput_search, turn_trie, url_rules
+from quarryline.llm import chat_trees, harmonic, html_consensus, langid_hd, mixing, mpeg_audio, ngram_automaton, quality_bayes, quality_llr, simhash, tput_search, turn_trie, url_rules
 from quarryline.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -80,6 +80,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_ms", "n_frames", "frame_offsets", "bad_checksums")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out")
+    scored = ngram_automaton.score(docs.select("doc_id", held_out, "text"), ~F.col("held_out"), ["doc_id", "held_out"])
+    return scored.select("own.*", "scores.n_tokens", "scores.n_known", "train_tokens", "scores.base_score", "scores.score")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tput_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -89,7 +96,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns, op12_ranked_search, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_classifier, op4_chat_format, op5_mixing, op6_language_id, op7_quality_rules, op8_packing, op9_html_extraction, op10_media_columns, op11_lm_scores, op12_ranked_search, op13_prefix_trie)}
 
 ORACLES = {
     "op1_url_filter": r"""

@@ -17,7 +17,7 @@ from tests.llm.test_simhash import fingerprint, groups
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = {
     "documents": DOCUMENTS, "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int",
-    "conversations": "conv_id long, turn long, role string, text string",
+    "conversations": "conv_id long, turn long, role string, text string", "benchmark": "item_id long, text string",
 }
 #: Names that operators may use on their way, or that other users of them may.
 CLASHES = ["__a", "__b", "__copy", "host_n", "path_n", "language", "media", "text_", "node", "row", "host", "path", "odds", "vote", "read", "size", "copy", "stored", "words", "component", "has_word", "verdict"]
@@ -36,6 +36,7 @@ ROWS = {
     "documents": documents(), "labels": [(i, 1, 0) for i in range(0, 60, 2)] + [(100 + i, 0, 0) for i in range(5)] + [(None, 1, 0), (0, None, 0), (999, 0, 1)],
     "pages": [(1, "http://Example.com/en/71?x", "<nav>m</nav><article><p>a &amp;  b<p>c"), (2, None, None), (None, "no scheme", ""), (2, None, None), (3, "http://x.net/" + "de/" * 400, "<div>" * 2000 + "deep")],
     "conversations": [(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, None, None, None), (1, 1, "assistant", None), (2, 0, "assistant", "long " * 50_000)],
+    "benchmark": [(1, "The river runs over stones"), (2, None), (None, "été"), (1, "buy now"), (3, "w")],
 }
 
 
@@ -61,6 +62,8 @@ COLUMNS = {
     "op6_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double", "op7_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint", "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op10_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op11_lm_scores": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", "op12_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op13_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -68,7 +71,7 @@ COLUMNS = {
 def test_columns_and_empty_tables(spark, small, empty, name):
     out = queries.QUERIES[name](spark, small)
     assert ", ".join(f"{n} {t}" for n, t in out.dtypes).startswith(COLUMNS[name])
-    own = {"op1_url_filter": "pages", "op9_html_extraction": "pages", "op4_chat_format": None, "op8_packing": None}.get(name, "documents")
+    own = {"op1_url_filter": "pages", "op9_html_extraction": "pages", "op4_chat_format": None, "op8_packing": None, "op12_ranked_search": None, "op13_prefix_trie": None}.get(name, "documents")
     assert out.count() == len(ROWS[own]) if own else out.count() > 0
     assert queries.QUERIES[name](spark, empty).count() == (1 if name == "op4_chat_format" else 0)
 
