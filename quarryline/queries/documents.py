@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from quarryline.functions import vectors as V
 from quarryline.operators import changes, chunking, evaluation, markdown, profile, publishing
 from quarryline.plans import ingestion
 from quarryline.queries.common import CORPUS_SQL, DIMENSION, DOCS_SQL, SQL_WORD, Registry, corpus, documents, table
+from quarryline.session import new_folder
 from quarryline.sources import files, stores
+from quarryline.streaming import mirror
 
 R = Registry()
 
@@ -66,6 +70,33 @@ def snapshot_diff(spark, sf_dir):
     return difference(spark, sf_dir).select("change_type", "source_path", "document_id", "previous_path")
 
 
+LISTED_AT = datetime(2024, 1, 1)
+
+
+@R.add(f"WITH {SNAPSHOT_SQL} SELECT * FROM diff")
+def mirror_changes(spark, sf_dir):
+    """The second snapshot as a stream of observations, in files of mixed order, against the first one as the known state."""
+    listed = second_snapshot(spark, sf_dir).withColumn("gone", F.lit(False)).withColumn("at", F.lit(LISTED_AT) + F.make_dt_interval(secs=(F.col("position") % 600).cast("decimal(18,6)")))
+    columns = [f.name for f in spark.createDataFrame([], mirror.OBSERVATION).schema]
+    folder = new_folder(spark, "mirror")
+    listed.select(*columns).repartition(8, F.xxhash64("source_path")).write.parquet(f"{folder}/observations")
+    mirror.tick(spark, LISTED_AT + timedelta(days=1)).coalesce(1).write.mode("append").parquet(f"{folder}/observations")
+    found = mirror.replay(twins(spark, sf_dir), folder, complete_ms=int((LISTED_AT + timedelta(minutes=20)).replace(tzinfo=UTC).timestamp() * 1000))
+    return found.select("change_type", "source_path", "document_id", "previous_path")
+
+
+@R.add(f"""WITH {SNAPSHOT_SQL},
+left_paths AS (SELECT CASE change_type WHEN 'deleted' THEN source_path ELSE previous_path END AS path FROM diff WHERE change_type IN ('deleted', 'moved', 'renamed')),
+above AS (SELECT path, array_to_string(string_split(path, '/')[1:d], '/') AS folder FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS d FROM left_paths)),
+live AS (SELECT DISTINCT array_to_string(string_split(source_path, '/')[1:d], '/') AS folder FROM (SELECT source_path, unnest(range(1, len(string_split(source_path, '/')))) AS d FROM diff WHERE change_type <> 'deleted'))
+SELECT DISTINCT folder FROM above ANTI JOIN live USING (folder)""")
+def pruned_folders(spark, sf_dir):
+    """Folders that the changes to the second snapshot left without any file."""
+    found = difference(spark, sf_dir)
+    after = found.where("change_type <> 'deleted'").select("source_path", F.lit("active").alias("status"))
+    return mirror.pruned_folders(found, after)
+
+
 @R.add(f"WITH {SNAPSHOT_SQL} SELECT change_type, count(*) AS n FROM diff GROUP BY 1")
 def change_counts(spark, sf_dir):
     return changes.change_counts(difference(spark, sf_dir))

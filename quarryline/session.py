@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,21 +21,36 @@ def build_session(name: str = "quarryline", master: str | None = None, **conf: s
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as a stage's table in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    It ends lineage, so a lost executor costs no earlier stage, and it ends the
-    optimizer's view: filters on derived columns aren't pushed into copies of
-    the expressions they came from.  A temporary folder is set only where a
-    session on one machine names none, as in tests; on a cluster every executor
-    would write to its own disk, so there the setting must be given.
+    A temporary folder is set only where a session on one machine names none,
+    as in tests; on a cluster every executor would write to its own disk, so
+    there the setting must be given.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not re.match(r"local($|\[)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
+        folder = tempfile.mkdtemp(prefix="quarryline-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a stage's table in the shared folder.
+
+    It ends lineage, so a lost executor costs no earlier stage, and it ends the
+    optimizer's view: filters on derived columns aren't pushed into copies of
+    the expressions they came from.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
