@@ -13,7 +13,7 @@ from quarryline.operators import changes, chunking, evaluation, markdown, profil
 from quarryline.plans import ingestion
 from quarryline.queries.common import CORPUS_SQL, DIMENSION, DOCS_SQL, SQL_WORD, Registry, corpus, documents, table
 from quarryline.session import new_folder
-from quarryline.sources import files, stores
+from quarryline.sources import bucketed, files, stores
 from quarryline.streaming import mirror
 
 R = Registry()
@@ -397,6 +397,35 @@ def upsert_vectors(spark, sf_dir):
     return after.groupBy("replaced").agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("numbers"))
 
 
+def published_in_batches(spark: SparkSession, sf_dir: str, batch_rows: int = 1000) -> tuple[bucketed.BucketedTable, DataFrame]:
+    """A vector table with two thirds of the embeddings as version 1, then every second one as version 2; and the progress of both jobs."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector"))
+    columns = "vector_id long, vector array<float>, version long, position long"
+    points = bucketed.BucketedTable(spark, new_folder(spark, "vectors"), columns, ["vector_id"])
+    first = rows.where("vector_id % 3 <> 0").withColumn("version", F.lit(1).cast("long")).withColumn("position", F.col("vector_id") + 1)
+    second = rows.where("vector_id % 2 = 0").withColumn("version", F.lit(2).cast("long")).withColumn("position", F.col("vector_id") + 1)
+    progress = [bucketed.upsert_in_batches(points, job, part, "position", batch_rows) for job, part in (("first", first), ("second", second))]
+    return points, progress[0].unionByName(progress[1])
+
+
+@R.add("""SELECT vec_id AS vector_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS version, len(embedding) AS dimension, embedding[1]::DOUBLE AS first_value
+FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 <> 0""")
+def batched_upsert(spark, sf_dir):
+    points, _ = published_in_batches(spark, sf_dir)
+    return points.read().select("vector_id", "version", F.size("vector").alias("dimension"), F.get("vector", F.lit(0)).cast("double").alias("first_value"))
+
+
+@R.add("""WITH jobs AS (
+  SELECT 'first' AS job, vec_id // 1000 AS batch FROM embeddings WHERE vec_id % 3 <> 0
+  UNION ALL SELECT 'second', vec_id // 1000 FROM embeddings WHERE vec_id % 2 = 0),
+counted AS (SELECT job, batch, count(*) AS n FROM jobs GROUP BY ALL),
+totals AS (SELECT job, sum(n)::BIGINT AS total FROM counted GROUP BY job)
+SELECT job, batch, 'published' AS state, (sum(n) OVER (PARTITION BY job ORDER BY batch))::BIGINT AS processed, total, 1::BIGINT AS attempts FROM counted JOIN totals USING (job)
+UNION ALL SELECT job, NULL, 'started', 0, total, 0 FROM totals""")
+def upsert_progress(spark, sf_dir):
+    return published_in_batches(spark, sf_dir)[1].select("job", "batch", "state", "processed", "total", "attempts")
+
+
 @R.add(f"WITH {CORPUS_SQL} SELECT document_id FROM corpus WHERE vector IS NULL")
 def coverage_gap(spark, sf_dir):
     return evaluation.coverage_gaps(documents(spark, sf_dir), point_rows(spark, sf_dir), ["document_id"])
