@@ -33,6 +33,7 @@ TERM = r"[A-Za-z0-9_\-]+"
 ATTRIBUTES = ["classification_clearance", "section_id", "language", "repository_id"]
 #: A batch of more queries than this isn't broadcast.
 MOST_BROADCAST_QUERIES = 20_000
+MOST_BROADCAST_BYTES = 64 << 20
 
 CANDIDATE = ["query_id", "engine", "document_id", "chunk_id", "source_path", "section_title", "content", "score", "rank"]
 
@@ -92,9 +93,11 @@ def matches(corpus: DataFrame, filters: Column, numeric: bool = False) -> Column
     return F.forall(filters, one)
 
 
-def few(queries: DataFrame, most: int = MOST_BROADCAST_QUERIES) -> DataFrame:
-    """Marked for broadcast if the rows are few; beyond that Spark pairs the sides block by block."""
-    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
+def few(queries: DataFrame, most: int = MOST_BROADCAST_QUERIES, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if the rows are few and small; no more rows than that are read to see it."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in queries.columns)))).cast("long")
+    seen = queries.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(queries) if seen["n"] <= most and seen["bytes"] <= most_bytes else queries
 
 
 def top(scored: DataFrame, limit: Column | int, most: int | None = None) -> DataFrame:

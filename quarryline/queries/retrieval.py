@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import vectors as V
-from quarryline.operators import assembly, fusion, governance, search, understanding
+from quarryline.operators import assembly, fusion, governance, search, understanding, vector_index
 from quarryline.plans import retrieval as plan
 from quarryline.queries.common import CORPUS_SQL, DIMENSION, DOCS_SQL, Registry, corpus, documents, table
+from quarryline.session import new_folder
 
 R = Registry()
 
@@ -66,6 +67,44 @@ def vector_topk_batch(spark, sf_dir):
     return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))
 
 
+def inverted_file(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, vector_index.Centroids]:
+    rows = corpus(spark, sf_dir).where("vector IS NOT NULL")
+    centroids = vector_index.fit(rows, DIMENSION)
+    return vector_index.build(rows, new_folder(spark, "lists"), centroids, DIMENSION), centroids
+
+
+def ivf_topk(spark, sf_dir):
+    """The ten nearest of every query from the probed lists; approximate, so without SQL."""
+    index, centroids = inverted_file(spark, sf_dir)
+    found = vector_index.search(index, vector_queries(spark, sf_dir), centroids, DIMENSION)
+    return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))
+
+
+def ivf_recall(spark, sf_dir):
+    """How much of the exact ten nearest the probed lists hold, and how many rows were scored for it."""
+    index, centroids = inverted_file(spark, sf_dir)
+    asked = vector_queries(spark, sf_dir)
+    found = vector_index.search(index, asked, centroids, DIMENSION)
+    each = vector_index.recall(found, search.vector_search(corpus(spark, sf_dir), asked, 10, DIMENSION))
+    scored = vector_index.pairs(index, vector_index.probed(index, asked, centroids, DIMENSION)).agg(F.count("*").alias("scored_rows"))
+    exact = index.join(search.few(asked), search.visible_to_queries(index)).agg(F.count("*").alias("exact_rows"))
+    sums = each.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), F.sum("found").alias("found"))
+    return sums.crossJoin(scored).crossJoin(exact).withColumn("recall", F.col("found") / F.col("wanted"))  # one row each
+
+
+R.add()(ivf_topk)
+R.add()(ivf_recall)
+
+
+@R.add(f"""WITH {VECTOR_SQL}
+SELECT query_id, document_id, rank, round(greatest(0, least(1, score)), 6) AS score FROM vfound WHERE rank < 10""")
+def ivf_all_lists(spark, sf_dir):
+    """Every list probed: the exact result, from the same table."""
+    index, centroids = inverted_file(spark, sf_dir)
+    found = vector_index.search(index, vector_queries(spark, sf_dir), centroids, DIMENSION, probes=len(centroids.matrix))
+    return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))
+
+
 @R.add(f"""WITH {VECTOR_SQL},
 scored AS (SELECT query_id, document_id, greatest(0, least(1, 1 / (1 + list_distance(vector, q_vector)))) AS score FROM corpus, vq WHERE vector IS NOT NULL AND level <= q_level)
 SELECT query_id, document_id, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 5""")
