@@ -22,9 +22,9 @@ From these the slice has all states and arcs that its texts can reach, and
 traverses them.  A frequent n-gram is one number from each slice, so no key
 is hot.  Counts cover all training texts; none is pruned.
 
-Words and n-grams are told apart by 64-bit hashes.  At a billion distinct
-n-grams about one pair in 40 corpora would share a hash, which adds their
-counts.
+Words are told apart by 64-bit hashes; of longer n-grams' hashes a part gets
+48 bits, besides those that led to the part.  A billion distinct ones are
+expected to have about two pairs that share a hash, which adds their counts.
 
 Edge cases: a null or empty text is its end alone.  A null ``trained`` counts
 as false.  Repeated rows are texts of their own.  A longer text than a slice
@@ -50,18 +50,37 @@ ORDER = 2
 #: Weight of the shorter history's distribution, in tokens.
 PRIOR = 200.0
 #: Tokens of a slice; a task holds about a slice with its states and arcs.
-SLICE_TOKENS = 1 << 19
+SLICE_TOKENS = 1 << 20
 #: Tokens of the corpus for each part that adds up n-grams.
 PART_TOKENS = 1 << 20
 #: The token that ends a text.
 END = np.uint64(0x5851F42D4C957F2D)
 
 INTEGER, BINARY = T.IntegerType(), T.BinaryType()
-ASK = record(part=LONG, slice=LONG, size=INTEGER, keys=BINARY, counts=BINARY)
+ASK = record(part=LONG, slice=LONG, size=INTEGER, keys=BINARY, width=INTEGER, counts=BINARY)
+PACKED = ("sizes", "trained", "words", "low", "high")
 REPLY = record(slice=LONG, size=INTEGER, part=LONG, width=INTEGER, totals=BINARY, sent=LONG, distinct=LONG)
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """In the fewest bytes; most counts need one."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def key_bytes(keys: np.ndarray, size: int) -> bytes:
+    """Whole keys of words, and the lower 48 bits of longer n-grams' keys."""
+    return keys.tobytes() if size == 1 else np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def keys_of(raw: bytes, size: int) -> np.ndarray:
+    if size == 1:
+        return np.frombuffer(raw, np.uint64)
+    whole = np.zeros((len(raw) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return whole.view(np.uint64).ravel()
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
     keys = keys ^ (keys >> np.uint64(32))
     keys *= BYTES[0]
@@ -80,11 +99,15 @@ def sliced(most: int) -> Callable:
     """From (own, trained, text): one row for each slice, with its distinct words and the texts' tokens as numbers among them."""
 
     def packed(name: int, held: list[tuple[np.ndarray, bool]], rows: list[pa.Array]) -> pa.RecordBatch:
-        words, codes = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        words, codes, times = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers, and the high halves pack well
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        codes = place[codes]
+        binary = [np.array([len(t) for t, _ in held], np.int32), np.array([x for _, x in held], bool), words[order], (codes & 0xFFFF).astype(np.uint16), narrow(codes >> 16)]
         own = pa.concat_arrays(rows)
-        binary = [np.array([len(t) for t, _ in held], np.int32), np.array([x for _, x in held], bool), words, codes.astype(np.int32)]
         columns = [pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *(pa.array([x.tobytes()], pa.binary()) for x in binary)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([len(codes)], pa.int64())], ["slice", "own", "sizes", "trained", "words", "codes", "n"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([len(codes)], pa.int64())], ["slice", "own", *PACKED, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -108,9 +131,14 @@ def sliced(most: int) -> Callable:
 class Slice:
     """A slice's tokens, and its distinct n-grams of each size."""
 
-    def __init__(self, sizes: bytes, trained: bytes, words: bytes, codes: bytes):
+    def __init__(self, sizes: bytes, trained: bytes, words: bytes, low: bytes, high: bytes):
         self.sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
-        self.words, self.codes = np.frombuffer(words, np.uint64), np.frombuffer(codes, np.int32)
+        words = np.frombuffer(words, np.uint64)
+        order = np.argsort(words)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        low, high = np.frombuffer(low, np.uint16), np.frombuffer(high, f"u{2 * len(high) // len(low)}")
+        self.words, self.codes = words[order], place[low.astype(np.int64) | high.astype(np.int64) << 16]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
         self.trained = np.repeat(np.frombuffer(trained, bool), self.sizes)
@@ -149,17 +177,17 @@ def asks(order: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                number, *packed = (batch.column(c)[row].as_py() for c in ("slice", "sizes", "trained", "words", "codes"))
+                number, *packed = (batch.column(c)[row].as_py() for c in ("slice", *PACKED))
                 own = Slice(*packed)
                 for size, level in enumerate(own.levels(order), 1):
-                    keys, counts = level[0], own.counts(level).astype(np.int32)
+                    keys, counts = level[0], narrow(own.counts(level))
                     if not len(keys):
                         continue
                     each = part_of(keys, parts)
                     starts = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1])))
                     spans = list(zip(starts, [*starts[1:], len(keys)], strict=True))
                     columns = [pa.array(each[starts]), pa.array([number] * len(spans), pa.int64()), pa.array([size] * len(spans), pa.int32())]
-                    columns += [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (keys, counts)]
+                    columns += [pa.array([key_bytes(keys[a:b], size) for a, b in spans], pa.binary()), pa.array([counts.itemsize] * len(spans), pa.int32()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ASK.names)
 
     return run
@@ -170,14 +198,14 @@ def totals(table: pa.Table) -> pa.Table:
     out = []
     for size in sorted(set(table.column("size").to_pylist())):
         rows = table.filter(pa.compute.equal(table.column("size"), size))
-        keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, np.int32) for x in rows.column("counts").to_pylist()]
+        keys = [keys_of(x, size) for x in rows.column("keys").to_pylist()]
+        counts = [np.frombuffer(x, f"u{w}") for x, w in zip(rows.column("counts").to_pylist(), rows.column("width").to_pylist(), strict=True)]
         found, number = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(number, np.concatenate(counts), len(found)).astype(np.int64)  # exact below 2^53
         answers = np.split(total[number], np.cumsum([len(x) for x in keys])[:-1])
         for i, (name, part, sent, answer) in enumerate(zip(rows.column("slice").to_pylist(), rows.column("part").to_pylist(), counts, answers, strict=True)):
-            narrow = answer.astype(np.min_scalar_type(int(answer.max(initial=0))))
-            out.append((name, size, part, narrow.itemsize, narrow.tobytes(), int(sent.sum(dtype=np.int64)), 0 if i else int((total > 0).sum())))
+            answer = narrow(answer)
+            out.append((name, size, part, answer.itemsize, answer.tobytes(), int(sent.sum(dtype=np.int64)), 0 if i else int((total > 0).sum())))
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], REPLY.names)
 
 
@@ -185,50 +213,39 @@ def totals(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The states and arcs that a slice's texts can reach; state 0 is the root."""
+    """The states and arcs on the paths of a slice's texts.
+
+    A state is a seen history, and 0 words are the root.  Where a text stands,
+    its state is told by the history's length; ``arc[k]`` tells of each n-gram
+    of k + 1 words whether the history of k words has it as an arc, and
+    ``weight[k]`` the arc's weight; ``fail[k]`` is the weight of a history's
+    failure arc.
+    """
 
     def __init__(self, levels: list[Level], counts: list[np.ndarray], all_tokens: int, vocabulary: int, prior: float):
-        self.width = len(levels[0][0])
-        single = (counts[0] + 1) / (all_tokens + vocabulary + 1)
-        self.single = np.log10(single)
-        states = [np.zeros(0, np.int64)]  # of each size: the state of an n-gram, or -1
-        self.backoff, self.shorter = [0.0], [0]
-        self.arcs: dict[int, tuple[float, int]] = {}
-        lower = single
-        for n, (level, count) in enumerate(zip(levels, counts, strict=True), 1):
-            _, number, at = level
-            seen = np.flatnonzero(count > 0)
-            word = levels[0][1][at]
-            if n == 1:
-                share, history, suffix = single, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            else:
-                before = levels[n - 2][1]
-                over, tail = before[at - 1], before[at]
-                share = (count + prior * lower[tail]) / (counts[n - 2][over] + prior)
-                history, suffix = states[n - 1][over], states[n - 1][tail]
-            target = suffix.copy()
-            state = np.full(len(at), -1, np.int64)
-            if n < len(levels):  # seen n-grams are histories
-                state[seen] = len(self.backoff) + np.arange(len(seen))
-                self.backoff += np.log10(prior / (count[seen] + prior)).tolist()
-                self.shorter += suffix[seen].tolist()
-                target[seen] = state[seen]
-            arcs = np.arange(len(at)) if n == 1 else seen
-            keys = history[arcs] * self.width + word[arcs]
-            self.arcs.update(zip(keys.tolist(), zip(np.log10(share[arcs]).tolist(), target[arcs].tolist(), strict=True), strict=True))
-            states.append(state)
-            lower = share
-
-    def traverse(self, codes: list[int]) -> float:
-        """log10 of a text's probability."""
-        arcs, backoff, shorter, width = self.arcs.get, self.backoff, self.shorter, self.width
+        self.number = [level[1] for level in levels]
+        lower = (counts[0] + 1) / (all_tokens + vocabulary + 1)
+        self.arc, self.weight, self.known = [np.ones(len(lower), bool)], [np.log10(lower)], counts[0] > 0
+        self.fail = [np.zeros(1)] + [np.log10(prior / (c + prior)) for c in counts[:-1]]
+        for (_, _, at), count, before, over in zip(levels[1:], counts[1:], self.number[:-1], counts[:-1], strict=True):
+            lower = (count + prior * lower[before[at]]) / (over[before[at - 1]] + prior)
+            self.arc.append(count > 0)
+            self.weight.append(np.log10(lower))
+
+    def traverse(self, begin: int, end: int) -> float:
+        """log10 of the probability of the tokens from ``begin`` to ``end``, a whole text."""
+        most = len(self.arc) - 1
+        ends = [number[begin:end] for number in self.number]
+        known = self.known[ends[0]].tolist()
+        arc, weight = ([x[e].tolist() if len(x) else [False] * len(e) for x, e in zip(xs, ends, strict=True)] for xs in (self.arc, self.weight))
+        fail = [[]] + [x[e].tolist() for x, e in zip(self.fail[1:], ends, strict=False)]
         state, score = 0, 0.0
-        for w in codes:
-            while (arc := arcs(state * width + w)) is None:
-                score += backoff[state]
-                state = shorter[state]
-            score += arc[0]
-            state = arc[1]
+        for i, seen in enumerate(known):
+            while not arc[state][i]:
+                score += fail[state][i - 1]
+                state -= 1
+            score += weight[state][i]
+            state = min(state + 1, most) if seen else 0
         return score
 
 
@@ -239,7 +256,7 @@ def scores(order: int, prior: float, all_tokens: int, vocabulary: int) -> Callab
     """From a slice and the answers to it: its rows with their scores."""
 
     def run(slices: pa.Table, replies: pa.Table) -> pa.Table:
-        own = Slice(*(slices.column(c)[0].as_py() for c in ("sizes", "trained", "words", "codes")))
+        own = Slice(*(slices.column(c)[0].as_py() for c in PACKED))
         levels, counts = list(own.levels(order)), []
         replies = replies.sort_by([("size", "ascending"), ("part", "ascending")])
         for n in range(1, order + 1):
@@ -247,9 +264,9 @@ def scores(order: int, prior: float, all_tokens: int, vocabulary: int) -> Callab
             parts = [np.frombuffer(x, f"u{w}").astype(np.int64) for x, w in zip(rows.column("totals").to_pylist(), rows.column("width").to_pylist(), strict=True)]
             counts.append(np.concatenate([np.zeros(0, np.int64), *parts]))
         model = Automaton(levels, counts, all_tokens, vocabulary, prior)
-        known = np.add.reduceat((counts[0] > 0)[own.codes].astype(np.int64), own.starts)
-        base = np.add.reduceat(model.single[own.codes], own.starts)
-        found = [model.traverse(own.codes[a : a + n].tolist()) for a, n in zip(own.starts, own.sizes, strict=True)]
+        known = np.add.reduceat(model.known[own.codes].astype(np.int64), own.starts)
+        base = np.add.reduceat(model.weight[0][own.codes], own.starts)
+        found = [model.traverse(a, a + n) for a, n in zip(own.starts, own.sizes, strict=True)]
         values = pa.StructArray.from_arrays([pa.array(own.sizes), pa.array(known), pa.array(base), pa.array(found, pa.float64())], SCORES.names)
         return pa.table([slices.column("own").combine_chunks().flatten(), values], ["own", "scores"])
 
@@ -264,12 +281,12 @@ def score(docs: DataFrame, trained: Column, keep: list[str], text: str = "text",
     own = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("own")
     rows = docs.select(own, F.coalesce(trained, F.lit(False)).alias("trained"), F.col(f"`{text}`").cast("binary").alias("text"))
     kept = nullable(rows.schema["own"].dataType)
-    kinds = T.StructType([*record(slice=LONG, own=T.ArrayType(kept), sizes=BINARY, trained=BINARY, words=BINARY, codes=BINARY, n=LONG)])
-    slices = written(rows.mapInArrow(sliced(slice_tokens), kinds), "slices")
+    kinds = T.StructType([*record(slice=LONG, own=T.ArrayType(kept), **dict.fromkeys(PACKED, BINARY), n=LONG)])
+    slices = written(rows.mapInArrow(sliced(slice_tokens), kinds), "slices", "zstd")
     size = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_TOKENS))
-    asked = slices.select("slice", "sizes", "trained", "words", "codes").mapInArrow(asks(order, parts), ASK)
-    replies = written(asked.groupBy("part").applyInArrow(totals, REPLY), "totals")
+    asked = slices.select("slice", *PACKED).mapInArrow(asks(order, parts), ASK)
+    replies = written(asked.groupBy("part").applyInArrow(totals, REPLY), "totals", "zstd")
     all_tokens, vocabulary = replies.where("size = 1").agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     answers = replies.select("slice", "size", "part", "width", "totals").groupBy("slice")
     result = T.StructType([T.StructField("own", kept), T.StructField("scores", SCORES)])
