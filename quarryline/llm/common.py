@@ -77,28 +77,46 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of rows that travel to a Python worker at once.
-BATCH_BYTES = 4 << 20
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+def column(name: str) -> Column:
+    """A column by its whole name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of a session that sets no bound itself to ``BATCH_BYTES``.
+def row_of(df: DataFrame, but: Iterable[str] = ()) -> Column:
+    """All columns of ``df`` in one struct, so that no name of theirs meets a name used on the way."""
+    return F.struct(*(column(c).alias(c) for c in df.columns if c not in but))
 
-    Spark's own bound of 64 MB leaves 10,000 rows together; such a batch of
-    texts is held several times over, in the executor's buffers and in a worker.
-    """
-    spark.conf.set(BATCH_SETTING, spark.conf.get(BATCH_SETTING, str(BATCH_BYTES)))
 
+def unpacked(df: DataFrame, row: str, names: Iterable[str]) -> list[Column]:
+    """The fields of a struct column under their own names."""
+    return [F.col(row).getField(c).alias(c) for c in names]
 
-def row_of(df: DataFrame, but: Iterable[str] = ()) -> Column:
-    """All columns of ``df`` in one struct, so that no name of theirs meets a name used on the way."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in but))
+
+def has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and has_map(kind.elementType))
+
+
+def hashable(value: Column, kind: T.DataType) -> Column:
+    """A value that Spark can hash: maps become their sorted entries, at any depth."""
+    if not has_map(kind):
+        return value
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("k"), hashable(e["value"], kind.valueType).alias("v")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: hashable(x, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*(hashable(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields))))
+
+
+def hashable_columns(df: DataFrame) -> list[Column]:
+    return [hashable(column(f.name), f.dataType) for f in df.schema.fields]
 
 
 def byte_size(field: T.StructField) -> Column:
     """About the bytes of a value, as a broadcast holds it."""
-    c = F.col(f"`{field.name}`")
+    c = column(field.name)
     if isinstance(field.dataType, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16
     if isinstance(field.dataType, T.ArrayType):

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import STRING, WORD, attach, bounded_batches, cut_lineage, row_of
+from quarryline.llm.common import STRING, WORD, attach, cut_lineage, hashable_columns, row_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -200,8 +200,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A document that the target cuts off ends after its last taken word.
     """
-    bounded_batches(docs.sparkSession)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = hashable_columns(docs)
     names = [F.xxhash64(*columns).alias("a"), F.hash(*columns).alias("b")]
     plan = mix(docs, text, doc_id, source, extra=names, seed=seed)
     reads = F.filter(F.arrays_zip("shards", "words"), lambda r: r["words"] > 0)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import DOUBLE, LONG, nullable, record, written
+from quarryline.llm.common import DOUBLE, LONG, column, nullable, record, written
 from quarryline.llm.shingles import BYTES, FACTOR, word_hashes
 
 ORDER = 2
@@ -278,8 +278,8 @@ def score(docs: DataFrame, trained: Column, keep: list[str], text: str = "text",
 
     The model is learned from the rows where ``trained`` holds.
     """
-    own = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("own")
-    rows = docs.select(own, F.coalesce(trained, F.lit(False)).alias("trained"), F.col(f"`{text}`").cast("binary").alias("text"))
+    own = F.struct(*(column(c).alias(c) for c in keep)).alias("own")
+    rows = docs.select(own, F.coalesce(trained, F.lit(False)).alias("trained"), column(text).cast("binary").alias("text"))
     kept = nullable(rows.schema["own"].dataType)
     kinds = T.StructType([*record(slice=LONG, own=T.ArrayType(kept), **dict.fromkeys(PACKED, BINARY), n=LONG)])
     slices = written(rows.mapInArrow(sliced(slice_tokens), kinds), "slices", "zstd")

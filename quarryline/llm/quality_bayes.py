@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import DOUBLE, attach, bounded_batches, cut_lineage
+from quarryline.llm.common import DOUBLE, attach, column, cut_lineage, unpacked
 
 #: At most this many labelled documents teach the evidence.
 FIT_ROWS = 20_000
@@ -228,7 +228,7 @@ def read(docs: DataFrame, evidence: Evidence, text: str, host: Column, path: Col
     """(row, host, path, odds, vote, has_word), settled; ``row`` holds the columns to be returned."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
     has_word = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host.alias("host"), path.alias("path"), has_word.alias("has_word"), log_odds(evidence, F.col(text)).alias("odds"))
+    rows = docs.select(F.struct(*(column(c).alias(c) for c in kept)).alias("row"), host.alias("host"), path.alias("path"), has_word.alias("has_word"), log_odds(evidence, F.col(text)).alias("odds"))
     return cut_lineage(rows.withColumn("vote", F.round(sigmoid(F.col("odds")) * UNITS).cast("long")))
 
 
@@ -243,7 +243,7 @@ def judge(seen: DataFrame, evidence: Evidence, sites: Sites, threshold: float =
     rows = rows.withColumn("path_posterior", bounded(share(sites.path_strength, F.col("host_posterior"), "path_good", "path_n")))
     rows = rows.withColumn("doc_llr", F.col("odds") - F.lit(evidence.base))
     rows = rows.withColumn("quality_score", sigmoid(F.col("doc_llr") + logit(F.col("path_posterior"))))
-    return rows.select("row.*", *OUTPUTS[:-1], (F.col("has_word") & (F.col("quality_score") >= threshold)).alias("kept"))
+    return rows.select(*unpacked(rows, "row", seen.schema["row"].dataType.names), *OUTPUTS[:-1], (F.col("has_word") & (F.col("quality_score") >= threshold)).alias("kept"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, host: Column, path: Column, keep: list[str] | None = None) -> DataFrame:
@@ -251,7 +251,6 @@ def classify(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, host: C
 
     What is kept is settled with the evidence, so leave texts out where they aren't wanted.
     """
-    bounded_batches(docs.sparkSession)
     evidence = learn(docs, labels, text, doc_id)
     seen = read(docs, evidence, text, host, path, keep)
     return judge(seen, evidence, fit_sites(seen))

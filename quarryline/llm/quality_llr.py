@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import GAP, WORD, row_of
+from quarryline.llm.common import GAP, WORD, row_of, unpacked
 
 BUCKETS = 4096
 TRUSTED_ROWS = 20_000
@@ -132,4 +132,4 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
         llr = let(buckets_of(words, len(ratios)), mean_ratio)
         return let(rule_values(F.col(text), words), lambda rules: let(llr, lambda value: verdict(rules, value)))
 
-    return docs.select(row_of(docs, outputs).alias("row"), let(words_of(F.col(text)), judged).alias("verdict")).select("row.*", "verdict.*")
+    return docs.select(row_of(docs, outputs).alias("row"), let(words_of(F.col(text)), judged).alias("verdict")).select(*unpacked(docs, "row", [c for c in docs.columns if c not in outputs]), "verdict.*")

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.llm import shingles
-from quarryline.llm.common import LONG, bounded_batches, cut_lineage, row_of
+from quarryline.llm.common import LONG, cut_lineage, hashable_columns, row_of, unpacked
 from quarryline.llm.components import components
 
 RADIUS = 2
@@ -241,7 +241,6 @@ def near_links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``."""
-    bounded_batches(docs.sparkSession)
     marked = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("node")))
     firsts = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first")))
     member = cut_lineage(components(near_links(firsts.select("node"))))
@@ -262,7 +261,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     be joined with the names that stay.  Of exactly repeated rows, which share
     a name, one stays.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = hashable_columns(docs)
     named = docs.select(row_of(docs).alias("row"), F.xxhash64(*columns).alias("__a"), F.hash(*columns).alias("__b"))
     own = lambda name: F.col("row").getField(name)
     key = F.struct(own(doc_id).isNull().alias("no"), own(doc_id).alias("id"), "__a", "__b")
@@ -275,10 +274,10 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     odd = cut_lineage(counts.join(chosen, ["__a", "__b"], "left").where("chosen IS NULL OR n > 1"))
     one_each = lambda rows: rows.withColumn("nth", F.row_number().over(W.partitionBy("__a", "__b").orderBy("__a"))).where("nth = 1").select("row")
     if odd.count() * NAME_BYTES > MOST_BROADCAST:
-        return one_each(named.join(chosen.drop("chosen"), ["__a", "__b"], "left_semi")).select("row.*")
+        return one_each(named.join(chosen.drop("chosen"), ["__a", "__b"], "left_semi")).select(*unpacked(docs, "row", docs.columns))
     # Few names go or stand for several rows: texts need no shuffle but for rows that are repeated.
     out = named.join(F.broadcast(odd.select("__a", "__b")), ["__a", "__b"], "left_anti").select("row")
     again = odd.where("chosen AND n > 1").select("__a", "__b")
     if not again.isEmpty():
         out = out.unionByName(one_each(named.join(F.broadcast(again), ["__a", "__b"], "left_semi")))
-    return out.select("row.*")
+    return out.select(*unpacked(docs, "row", docs.columns))

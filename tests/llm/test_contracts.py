@@ -20,7 +20,9 @@ TABLES = {
     "conversations": "conv_id long, turn long, role string, text string", "benchmark": "item_id long, text string",
 }
 #: Names that operators may use on their way, or that other users of them may.
-CLASHES = ["__a", "__b", "__copy", "host_n", "path_n", "language", "media", "text_", "node", "row", "host", "path", "odds", "vote", "read", "size", "copy", "stored", "words", "component", "has_word", "verdict"]
+CLASHES = ["__a", "__b", "__copy", "host_n", "path_n", "language", "media", "text_", "node", "row", "host", "path", "odds", "vote", "read", "size", "copy", "stored", "words", "component", "has_word", "verdict", "meta.site", "a`tick", "a", "b", "shards", "taken", "target", "__key"]
+#: Columns that operators return beside those that they get; the stages of the pipeline return none.
+VERDICTS = ["kept", "quality_score", "doc_llr", "host_posterior", "path_posterior", "llr", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "fingerprint", "component_id", "source_size", "held_out", "lang_pred", "score"]
 
 
 def documents():
@@ -113,8 +115,10 @@ def test_op10(spark, small):
 # --- clashing names -----------------------------------------------------------------
 
 
-def with_clashes(df, names):
-    return df.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col(names).cast("string"), F.lit("none"))) for c in CLASHES})
+def with_clashes(df, names, clashes=CLASHES):
+    value = lambda c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col(names).cast("string"), F.lit("none")))
+    own = [F.col(c) for c in df.columns]
+    return df.select(*own, *(value(c).alias(c) for c in clashes))
 
 
 def stage(name):
@@ -128,7 +132,7 @@ OPERATORS = {
     "op7": ("documents", lambda df, folder: quality_llr.judge(df, quality_llr.log_ratios(df, df.sparkSession.read.parquet(f"{folder}/labels.parquet")))),
     "op9": ("pages", lambda df, _: html_consensus.main_text(df)), "op10": ("documents", lambda df, _: mpeg_audio.probed(mpeg_audio.with_media(df))),
     "dedup": ("documents", lambda df, _: simhash.keep_one(df)),
-} | ({x: ("documents", stage(x)) for x in ("quality classifier", "quality rules", "simhash near-dedup", "mixing")} if find_spec("corpus_pipeline") else {})
+} | ({x: ("documents", stage(x)) for x in ("quality classifier", "quality rules", "near-dedup", "mixing")} if find_spec("corpus_pipeline") else {})
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -143,7 +147,7 @@ def test_clashing_columns_keep_their_values(spark, small, name):
     rows = clashed.collect()
     for r in rows:
         assert all(r[c] == f"{c}-{'none' if r[key] is None else r[key]}" for c in extra)
-    if name not in ("op5", "mixing", "dedup", "simhash near-dedup"):  # there, the choice among copies goes by the whole row
+    if name not in ("op5", "mixing", "dedup", "near-dedup"):  # there, the choice among copies goes by the whole row
         digits = lambda v: round(v, 9) if isinstance(v, float) and not math.isnan(v) else v
         of = lambda rs: sorted(str([digits(r[c]) for c in plain.columns if c != "media"]) for r in rs)
         assert of(rows) == of(plain.collect())
@@ -151,6 +155,23 @@ def test_clashing_columns_keep_their_values(spark, small, name):
         assert sorted(str(r[key]) for r in rows if name.endswith("dedup")) == sorted(str(r[key]) for r in plain.collect() if name.endswith("dedup"))
 
 
+@pytest.mark.skipif(find_spec("corpus_pipeline") is None, reason="no pipeline")
+@pytest.mark.parametrize("name", ["quality classifier", "quality rules", "near-dedup", "mixing"])
+def test_stages_keep_columns_of_all_names_and_types(spark, small, name):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    wide = with_clashes(docs, "doc_id", CLASHES + VERDICTS)
+    wide = wide.select("*", F.create_map(F.lit("k"), F.struct(F.col("doc_id"), F.create_map(F.lit("m"), F.col("n_chars"))), F.lit("a"), F.lit(None)).alias("map"), F.array(F.create_map(F.lit("x"), "lang")).alias("maps"))
+    out = stage(name)(wide, small)
+    assert out.dtypes == wide.dtypes and 0 < out.count()
+    for r in out.collect():
+        own = "none" if r["doc_id"] is None else r["doc_id"]
+        assert all(r[c] == f"{c}-{own}" for c in CLASHES + VERDICTS)
+        assert r["map"]["k"]["doc_id"] == r["doc_id"] and r["maps"] == [{"x": r["lang"]}] and r["map"]["a"] is None
+    plain = stage(name)(docs, small)
+    if name != "mixing":
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r["doc_id"]) for r in plain.collect())
+
+
 @pytest.mark.skipif(find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline_of_edge_rows_and_of_none(spark, small, empty):
     pipeline = importlib.import_module("corpus_pipeline")

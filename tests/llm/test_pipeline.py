@@ -56,7 +56,7 @@ def ids(df):
 
 def test_columns_stay(stages):
     out, _ = stages
-    assert [name for name, _, _ in out] == ["quality classifier", "quality rules", "simhash near-dedup", "mixing", "packing"]
+    assert [name for name, _, _ in out] == ["quality classifier", "quality rules", "near-dedup", "mixing", "packing"]
     assert all(after.columns == before.columns for _, before, after in out[:-1])
 
 
