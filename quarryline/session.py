@@ -9,6 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that travel to a Python worker at once.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that sets no bound itself to ``BATCH_BYTES``.
+
+    Spark's own bound of 64 MB leaves 10,000 rows together; such a batch of
+    texts is held several times over, in the executor's buffers and in a worker.
+    Applications call this, operators don't: it holds for the whole session.
+    """
+    spark.conf.set(BATCH_SETTING, spark.conf.get(BATCH_SETTING, str(BATCH_BYTES)))
+
+
 def build_session(name: str = "quarryline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive plans and Arrow transfer; ``conf`` overrides with ``_`` for ``.``."""
     settings = {
@@ -16,6 +31,7 @@ def build_session(name: str = "quarryline", master: str | None = None, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        BATCH_SETTING: str(BATCH_BYTES),
     } | {k.replace("_", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(name).config(map=settings)
     return (builder.master(master) if master else builder).getOrCreate()
