@@ -9,18 +9,14 @@ runs as one plan; results carry query_id and a rank from 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarryline.functions import vectors as V
 from quarryline.functions.text import is_blank
+from quarryline.session import settle
 
 #: Clearances from least to most restrictive.  Retrieval contracts
 #: name four of them; ingestion also knows highly_confidential.
@@ -93,13 +89,43 @@ def matches(corpus: DataFrame, filters: Column, numeric: bool = False) -> Column
     return F.forall(filters, one)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row holds when it is broadcast."""
+    return F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).cast("long")
+
+
 def few(queries: DataFrame, most: int = MOST_BROADCAST_QUERIES, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
     """Marked for broadcast if the rows are few and small; no more rows than that are read to see it."""
-    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in queries.columns)))).cast("long")
-    seen = queries.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    seen = queries.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(queries)), F.lit(0)).alias("bytes")).first()
     return F.broadcast(queries) if seen["n"] <= most and seen["bytes"] <= most_bytes else queries
 
 
+def paired(rows: DataFrame, queries: DataFrame, most: int = MOST_BROADCAST_QUERIES, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """Every row with every query that may see it, by equal keys.
+
+    A query stands once for each clearance level that it sees, at most five,
+    and joins rows on the level; queries of a tenant also join on the tenant.
+    Blocks of at most ``most`` queries and ``most_bytes`` are broadcast, one
+    reading of the rows for each, so that neither side is shuffled or paired
+    without a key.
+    """
+    rank = clearance_rank(F.coalesce("q_clearance", F.lit("public")))
+    levels = F.slice(F.array(*map(F.lit, CLEARANCES)), F.lit(1), F.coalesce(rank + 1, F.lit(0)).cast("int"))
+    asked = queries.withColumn("q_level", F.explode(levels))
+    of_tenant = F.coalesce("q_tenant", F.lit("")) != ""
+    seen = queries.groupBy(of_tenant.alias("t")).agg(F.count("*").alias("n"), F.sum(row_bytes(queries)).alias("bytes")).collect()  # two rows
+    level = F.col("classification_clearance") == F.col("q_level")
+    found = None
+    for r in seen:
+        part, match = (asked.where(of_tenant), level & (F.col("tenant_id") == F.col("q_tenant"))) if r["t"] else (asked.where(~of_tenant), level)
+        blocks = max(-(-r["n"] // most), -(-len(CLEARANCES) * r["bytes"] // most_bytes))
+        for block in range(blocks):
+            own = part.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            pairs = rows.join(F.broadcast(own), match).drop("q_level")
+            found = pairs if found is None else found.unionByName(pairs)
+    return rows.join(asked, level).drop("q_level").limit(0) if found is None else found
+
+
 def top(scored: DataFrame, limit: Column | int, most: int | None = None) -> DataFrame:
     """The best ``limit`` rows of each query, ranked from 0; ties go by document and chunk.
 
@@ -132,7 +158,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 1
         rows = rows.where(F.size("vector") == size)
     rows = rows.withColumn("norm", V.norm(F.col("vector")))
     asked = queries.withColumn("q_vector", V.doubles(F.col("q_vector"))).withColumn("q_norm", V.norm(F.col("q_vector")))
-    joined = rows.join(few(asked), visible_to_queries(rows))
+    joined = paired(rows, asked)
     if filters:
         joined = joined.where(matches(corpus, F.col(filters)))
     scored = joined.withColumn("score", _similarity(metric, size)).where("score > 0")
@@ -153,81 +179,67 @@ def query_terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
-class TermIndex:
-    """Which terms of which queries a text holds, found in one pass over the text whatever their number.
+#: A term is a substring, and of lower-cased text it can only lie within a run of these.
+RUN = r"[a-z0-9_\-]+"
+#: Characters of a gram; shorter terms are their own gram.
+GRAM = 3
+
+
+def grams(word: Column) -> Column:
+    """All substrings of up to ``GRAM`` characters, each once."""
+    n = F.length(word)
+    of = lambda k: F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(word, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*(F.when(n >= k, of(k)).otherwise(none) for k in range(1, GRAM + 1))))
 
-    Terms are substrings, so no word index of the corpus would do.
-    """
 
-    def __init__(self, queries: list[tuple[object, list[str]]]):
-        import ahocorasick
-
-        self.automaton, self.ids = ahocorasick.Automaton(), [q for q, _ in queries]
-        places: dict[str, list[int]] = {}
-        for place, (_, terms) in enumerate(queries):
-            for term in terms:  # a repeated term counts again
-                places.setdefault(term, []).append(place)
-        self.places = [np.array(p) for p in places.values()]
-        for i, term in enumerate(places):
-            self.automaton.add_word(term, i)
-        self.automaton.make_automaton()
-
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of queries with a hit, and their hits."""
-        found = {i for _, i in self.automaton.iter(text)}
-        counts = np.bincount(np.concatenate([self.places[i] for i in found]), minlength=len(self.ids)) if found else np.zeros(0, np.int64)
-        where = np.flatnonzero(counts)
-        return where, counts[where]
-
-
-def _term_hits(queries: list[tuple[object, list[str]]], schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TermIndex(queries)
-        for batch in batches:
-            rows, places, hits = [], [], []
-            for i, text in enumerate(batch.column("lowered").to_pylist()):
-                where, counts = index.hits(text)
-                rows.append(np.full(len(where), i))
-                places.append(where)
-                hits.append(counts)
-            if not rows:
-                continue
-            which, place = pa.array(np.concatenate(rows)), np.concatenate(places)
-            own = [batch.column(n).take(which) for n in schema.names[:-2]]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([index.ids[p] for p in place], schema.field("query_id").type), pa.array(np.concatenate(hits), pa.int64())], schema.names)
-
-    return run
+def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term) of every distinct word that holds a term, by a posting table of character grams.
+
+    A word that holds a term holds all its grams, so the term is looked up by
+    the one with the shortest posting; ``contains`` settles the rest.
+    """
+    postings = words.select("word", F.explode(grams(F.col("word"))).alias("gram"))
+    sizes = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    long = lambda x: F.length(x) == F.least(F.lit(GRAM), F.length("term"))
+    own = terms.select("term", F.explode(F.filter(grams(F.col("term")), long)).alias("gram"))
+    chosen = own.join(sizes, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return postings.join(chosen, "gram").where(F.contains("word", "term")).select("word", "term")
 
 
 def keyword_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, filters: str | None = None, most: int | None = None) -> DataFrame:
     """Share of each query's ``terms`` (repeats count) that the lower-cased content holds; no terms find nothing.
 
-    Hits carry the columns that settle visibility and filters; contents join the
-    best rows only.  Up to ``MOST_BROADCAST_QUERIES`` queries go to every task;
-    more are searched in blocks of that size.
+    Terms meet the distinct words of the corpus, words meet the rows that have
+    them, and terms the queries that ask for them: joins on equal keys only,
+    broadcast where a side is few and small.  (document_id, chunk_id) names a
+    row; rows that repeat it count as one.  Hits carry the columns that settle
+    visibility and filters; contents join the best rows only.
     """
     asked = queries.where(F.size("terms") > 0)
-    blocks = max(1, -(-2 * asked.count() // MOST_BROADCAST_QUERIES))
-    wanted = ("document_id", "chunk_id", "tenant_id", "classification_clearance", *(("metadata", *ATTRIBUTES) if filters else ()))
+    key = ["document_id", "chunk_id"]
+    wanted = (*key, "tenant_id", "classification_clearance", *(("metadata", *ATTRIBUTES) if filters else ()))
     light = [c for c in corpus.columns if c in wanted]
-    rows = corpus.select(*light, F.lower(F.coalesce("content", F.lit(""))).alias("lowered"))
-    kind = T.StructType([*(corpus.schema[c] for c in light), T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("hits", T.LongType())])
-    found = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        held = [(r["query_id"], r["terms"]) for r in part.select("query_id", "terms").collect()]
-        hits = rows.mapInArrow(_term_hits(held, to_arrow_schema(kind)), kind).join(F.broadcast(part), "query_id").where(visible_to_queries(corpus))
-        hits = hits.where(matches(corpus, F.col(filters))) if filters else hits
-        best = top(hits.withColumn("score", F.col("hits") / F.size("terms")), limit, most)
-        found = best if found is None else found.unionByName(best)
-    best = found.select("query_id", "document_id", "chunk_id", "score", "rank")
-    return corpus.join(best, ["document_id", "chunk_id"]).withColumn("engine", F.lit("keyword"))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(RUN), F.lit(0)))
+    words = corpus.select(*light, F.explode(runs).alias("word"))
+    each = asked.select(*(c for c in asked.columns if c != "terms"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    times = each.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    each = each.dropDuplicates(["query_id", "term"]).join(times, ["query_id", "term"])
+    held = settle(words_with_terms(words.select("word").distinct(), each.select("term").distinct()))
+    found = words.join(few(held), "word").drop("word").dropDuplicates([*key, "term"])
+    hits = found.join(few(each), "term").where(visible_to_queries(corpus))
+    hits = hits.where(matches(corpus, F.col(filters))) if filters else hits
+    own = F.first(F.struct(*(c for c in asked.columns if c not in ("terms", "query_id")))).alias("own")
+    scored = hits.groupBy("query_id", *key).agg((F.sum("times") / F.first("n_terms")).alias("score"), own).select("query_id", *key, "score", "own.*")
+    best = settle(top(scored, limit, most).select("query_id", *key, "score", "rank"))  # at most the limit for each query
+    contents = corpus.join(few(best.select(*key).distinct()), key, "left_semi").dropDuplicates(key)
+    return contents.join(best, key).withColumn("engine", F.lit("keyword"))
 
 
 def metadata_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, filters: str = "filters", numeric: bool = False, most: int | None = None) -> DataFrame:
     """Rows that meet all of a query's filters, with score 1; a query without filters finds nothing."""
     asked = queries.where(F.size(filters) > 0)
-    joined = corpus.join(few(asked), visible_to_queries(corpus)).where(matches(corpus, F.col(filters), numeric))
+    joined = paired(corpus, asked).where(matches(corpus, F.col(filters), numeric))
     return top(joined.withColumn("score", F.lit(1.0)), limit, most).withColumn("engine", F.lit("metadata"))
 
 

@@ -73,6 +73,36 @@ def test_keyword_index_against_contains(spark):
     assert got == pytest.approx(want)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_keyword_search_is_joins_on_equal_keys(spark):
+    docs = [(f"d{i}", "c", f"Word{i % 7} plain-word_x {'É' * i}", "/p", "t", "public", None, None, None) for i in range(40)]
+    docs += [docs[3]] * 3  # a repeated row is one row
+    corpus = spark.createDataFrame(docs, CORPUS)
+    queries = spark.createDataFrame([(1, ["ord3", "n-word_x", "x", "ord3"], "public", ""), (2, ["absent", "wor"], "public", "t")], "query_id int, terms array<string>, q_clearance string, q_tenant string")
+    df = search.keyword_search(corpus, queries, 100)
+    got = sorted((r["query_id"], r["document_id"], round(r["score"], 9)) for r in df.collect())
+    want = []
+    for q, terms in ((1, ["ord3", "n-word_x", "x", "ord3"]), (2, ["absent", "wor"])):
+        want += [(q, d, round(n / len(terms), 9)) for d, text in {d[0]: d[2].lower() for d in docs}.items() if (n := sum(t in text for t in terms))]
+    assert got == sorted(want)
+    assert not any(x in plan_of(df) for x in ("Python", "MapInArrow", "NestedLoop", "Cartesian"))
+
+
+def test_many_queries_need_no_nested_loop(spark, corpus):
+    queries = spark.range(25_000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), (F.col("id") % 7 / 10).cast("double")).alias("q_vector"), F.lit("restricted").alias("q_clearance"),
+                                         F.when(F.col("id") % 3 == 0, "t2").otherwise("").alias("q_tenant"), F.array(F.struct(F.lit("language").alias("field"), F.lit("eq").alias("operator"), F.lit("en").alias("value"))).alias("filters"))
+    for df in (search.vector_search(corpus, queries, 10, 2), search.metadata_search(corpus, queries, 10)):
+        assert not any(x in plan_of(df) for x in ("NestedLoop", "Cartesian"))
+    some = queries.where("query_id < 60")
+    small = search.paired(corpus, some, most=7)
+    key = lambda df: sorted((r["query_id"], r["document_id"]) for r in df.select("query_id", "document_id").collect())
+    assert key(small) == key(search.paired(corpus, some)) == key(corpus.join(some, search.visible_to_queries(corpus))) != []
+    assert search.paired(corpus, some.limit(0)).count() == 0
+
+
 def test_filters(spark, corpus):
     assert found(search.metadata_search(corpus, asked(spark, filters=[]), 10)) == []
     assert [d for d, _, _ in found(search.metadata_search(corpus, asked(spark, filters=[("group", "gte", "b")]), 10))] == ["d2"]
