@@ -14,8 +14,8 @@ from quarryline.session import new_folder
 R = Registry()
 
 
-def first_sentence():
-    return F.substring_index(F.coalesce("text", F.lit("")), ".", 1)
+def whole_text():
+    return F.coalesce("text", F.lit(""))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences of the benchmark texts; odd ones belong to a tenant."""
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first_sentence().alias("query"))
+    """The benchmark texts; odd ones belong to a tenant."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), whole_text().alias("query"))
     tenant = F.when(F.col("query_id") % 2 == 1, F.concat(F.lit("tenant-"), (F.col("query_id") % 3).cast("string"))).otherwise("")
     return rows.withColumn("q_clearance", F.lit("confidential")).withColumn("q_tenant", tenant).withColumn("terms", search.query_terms(F.col("query")))
 
@@ -39,8 +39,8 @@ vfound AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 KEYWORD_SQL = """
 tq AS (
-  SELECT item_id AS query_id, split_part(coalesce(text, ''), '.', 1) AS query,
-         list_transform(regexp_extract_all(split_part(coalesce(text, ''), '.', 1), '[A-Za-z0-9_\\-]+'), lambda x: lower(x)) AS terms,
+  SELECT item_id AS query_id, coalesce(text, '') AS query,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_\\-]+'), lambda x: lower(x)) AS terms,
          CASE WHEN item_id % 2 = 1 THEN 'tenant-' || (item_id % 3) ELSE '' END AS q_tenant
   FROM benchmark),
 kscored AS (
@@ -289,11 +289,11 @@ def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark")
     dressed = [" compare API policy", " latest guide after:2024", ' how to "Blue Whale" product:Tools', " gdpr audit 2024-05-01 costs 12.5", ""]
     extra = F.get(F.array(*map(F.lit, dressed)), (F.col("item_id") % len(dressed)).cast("int"))
-    return rows.select(F.col("item_id").alias("query_id"), F.concat(first_sentence(), extra).alias("query"))
+    return rows.select(F.col("item_id").alias("query_id"), F.concat(whole_text(), extra).alias("query"))
 
 
 ASKED_SQL = """asked AS (
-  SELECT item_id AS query_id, split_part(coalesce(text, ''), '.', 1) || [' compare API policy', ' latest guide after:2024', ' how to "Blue Whale" product:Tools', ' gdpr audit 2024-05-01 costs 12.5', ''][item_id % 5 + 1] AS query FROM benchmark),
+  SELECT item_id AS query_id, coalesce(text, '') || [' compare API policy', ' latest guide after:2024', ' how to "Blue Whale" product:Tools', ' gdpr audit 2024-05-01 costs 12.5', ''][item_id % 5 + 1] AS query FROM benchmark),
 normal AS (SELECT *, trim(regexp_replace(regexp_replace(query, '\\b([a-zA-Z_][a-zA-Z0-9_]*):([^\\s]+)', ' ', 'g'), '\\s+', ' ', 'g')) AS normalized_query FROM asked)"""
 
 
