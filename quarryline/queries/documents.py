@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.functions import vectors as V
-from quarryline.operators import changes, chunking, evaluation, markdown, profile, publishing
+from quarryline.operators import changes, chunking, evaluation, lineage, markdown, profile, publishing
 from quarryline.plans import ingestion
-from quarryline.queries.common import CORPUS_SQL, DIMENSION, DOCS_SQL, SQL_WORD, Registry, corpus, documents, table
+from quarryline.queries.common import CORPUS_SQL, DIMENSION, DOCS_SQL, LEVELS, SQL_WORD, Registry, corpus, documents, table
 from quarryline.session import new_folder
 from quarryline.sources import bucketed, files, stores
 from quarryline.streaming import mirror
@@ -555,3 +555,69 @@ def lineage_findings(spark, sf_dir):
     assets = documents(spark, sf_dir).select(F.col("doc_id").alias("asset_id"), kind.alias("asset_type"))
     edges = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), (F.col("vec_id") + 5).alias("parent_asset_id"))
     return evaluation.validate_lineage(assets, edges).groupBy("check").agg(F.count("*").alias("n"))
+
+
+# --- lineage -----------------------------------------------------------------------
+
+
+def lineage_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as assets that come from those of half and of a third of their number; some from none there is, some from each other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    name = lambda c: c.cast("string")
+    half = docs.where("doc_id > 0").select(name(F.col("doc_id")).alias("asset_id"), name(F.floor(F.col("doc_id") / 2)).alias("parent_asset_id"))
+    third = docs.where("doc_id % 2 = 1").select(name(F.col("doc_id")).alias("asset_id"), name(F.floor(F.col("doc_id") / 3)).alias("parent_asset_id"))
+    level = F.get(F.array(*map(F.lit, LEVELS)), (F.col("doc_id") * 7 % 11 % 4).cast("int"))
+    kind = F.when(F.col("doc_id") == 0, "source").otherwise("derived")
+    return docs.select(name(F.col("doc_id")).alias("asset_id"), kind.alias("asset_type"), level.alias("classification_clearance")), half.unionByName(third)
+
+
+def broken_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 97th document comes from a lost one, and every 89th from itself by way of the next."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    name = lambda c: c.cast("string").alias("asset_id")
+    lost = docs.where("doc_id % 97 = 5").select(name(F.col("doc_id")), F.concat(F.lit("lost-"), F.col("doc_id").cast("string")).alias("parent_asset_id"))
+    there = docs.where("doc_id % 89 = 88").select(name(F.col("doc_id")), (F.col("doc_id") + 1).cast("string").alias("parent_asset_id"))
+    back = docs.where("doc_id % 89 = 88").select(name(F.col("doc_id") + 1), F.col("doc_id").cast("string").alias("parent_asset_id"))
+    return lost.unionByName(there).unionByName(back)
+
+
+LINEAGE_SQL = """
+edges AS (SELECT doc_id::VARCHAR AS a, (doc_id // 2)::VARCHAR AS p FROM documents WHERE doc_id > 0 UNION SELECT doc_id::VARCHAR, (doc_id // 3)::VARCHAR FROM documents WHERE doc_id % 2 = 1),
+assets AS (SELECT doc_id::VARCHAR AS a, doc_id = 0 AS root, doc_id * 7 % 11 % 4 AS level FROM documents)"""
+
+
+@R.add(f"""WITH RECURSIVE {LINEAGE_SQL},
+ways AS (SELECT a, p, 1 AS n FROM edges UNION SELECT w.a, e.p, w.n + 1 FROM ways w JOIN edges e ON e.a = w.p),
+least AS (SELECT a, p, min(n) AS n FROM ways GROUP BY a, p)
+SELECT a AS asset_id, count(*) AS ancestors, max(n)::BIGINT AS farthest, sum(n)::BIGINT AS steps FROM least GROUP BY a""")
+def lineage_closure(spark, sf_dir):
+    _, edges = lineage_tables(spark, sf_dir)
+    return lineage.closure(edges).groupBy("asset_id").agg(F.count("*").alias("ancestors"), F.max("steps").alias("farthest"), F.sum("steps").alias("steps"))
+
+
+@R.add(f"""WITH RECURSIVE {LINEAGE_SQL},
+broken AS (
+  SELECT * FROM edges UNION SELECT doc_id::VARCHAR, 'lost-' || doc_id FROM documents WHERE doc_id % 97 = 5
+  UNION SELECT doc_id::VARCHAR, (doc_id + 1)::VARCHAR FROM documents WHERE doc_id % 89 = 88 UNION SELECT (doc_id + 1)::VARCHAR, doc_id::VARCHAR FROM documents WHERE doc_id % 89 = 88),
+ways AS (SELECT a, p FROM broken UNION SELECT w.a, b.p FROM ways w JOIN broken b ON b.a = w.p),
+cyclic AS (SELECT a FROM ways WHERE a = p)
+SELECT 'missing_parent' AS "check", 'error' AS severity, a AS subject FROM (SELECT DISTINCT a FROM ways WHERE p NOT IN (SELECT a FROM assets))
+UNION ALL SELECT 'cyclic_lineage', 'error', a FROM cyclic
+UNION ALL SELECT 'below_cycle', 'warning', a FROM (SELECT DISTINCT a FROM ways WHERE p IN (SELECT a FROM cyclic) AND a NOT IN (SELECT a FROM cyclic))
+UNION ALL SELECT 'unrooted', 'error', a FROM assets WHERE NOT root AND a NOT IN (SELECT a FROM ways WHERE p = '0')""")
+def lineage_breaks(spark, sf_dir):
+    assets, edges = lineage_tables(spark, sf_dir)
+    return lineage.findings(assets, edges.unionByName(broken_edges(spark, sf_dir)))
+
+
+@R.add(f"""WITH RECURSIVE {LINEAGE_SQL},
+ways AS (SELECT a, p FROM edges UNION SELECT w.a, e.p FROM ways w JOIN edges e ON e.a = w.p),
+above AS (SELECT w.a, max(x.level) AS level FROM ways w JOIN assets x ON x.a = w.p GROUP BY w.a)
+SELECT assets.a AS asset_id, ['public', 'internal', 'confidential', 'restricted'][greatest(assets.level, coalesce(above.level, 0)) + 1] AS least_clearance, coalesce(above.level, 0) > assets.level AS downgraded
+FROM assets LEFT JOIN above USING (a)""")
+def clearance_propagation(spark, sf_dir):
+    assets, edges = lineage_tables(spark, sf_dir)
+    ways = lineage.closure(edges)
+    down = lineage.downgrades(assets, ways).select(F.col("subject").alias("asset_id"), F.lit(True).alias("downgraded"))
+    rows = lineage.least_clearances(assets, ways).select("asset_id", "least_clearance").join(down, "asset_id", "left")
+    return rows.withColumn("downgraded", F.coalesce("downgraded", F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import changes, evaluation, gateway, governance, jobs, search
+from quarryline.operators import changes, concurrency, evaluation, gateway, governance, jobs, search
 from quarryline.queries.common import CORPUS_SQL, DIMENSION, Registry, corpus, documents, events, lit_ts, table
 
 R = Registry()
@@ -134,6 +134,18 @@ def stage_progress(spark, sf_dir):
     return jobs.stage_progress(rows)
 
 
+@R.add("""WITH r AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'tenant-' || (user_id % 7) END AS tenant, epoch_us(ts) AS b, epoch_us(ts) + (event_id % 14400 + 1) * 1000000 AS e FROM events),
+m AS (SELECT tenant, t, sum(d) AS d FROM (SELECT tenant, b AS t, 1 AS d FROM r UNION ALL SELECT tenant, e, -1 FROM r) GROUP BY ALL HAVING sum(d) <> 0),
+s AS (SELECT tenant, t, sum(d) OVER w AS active, lead(t) OVER w AS until FROM m WINDOW w AS (PARTITION BY tenant ORDER BY t))
+SELECT tenant AS tenant_id, max(active)::BIGINT AS peak, arg_min(t, (-active, t)) AS peak_at, coalesce(sum(until - t) FILTER (WHERE active > 4), 0)::BIGINT AS over_micros, count(*) FILTER (WHERE active > 4) AS over_spells FROM s GROUP BY 1""")
+def tenant_pressure(spark, sf_dir):
+    """Events as requests of up to four hours; a third of them are one tenant's."""
+    tenant = F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("tenant-"), (F.col("user_id") % 7).cast("string")))
+    length = jobs.seconds((F.col("event_id") % 14400 + 1).cast("decimal(18,6)"))
+    rows = events(spark, sf_dir).select(tenant.alias("tenant_id"), F.col("ts").alias("begun"), (F.col("ts") + length).alias("ended"))
+    return concurrency.pressure(rows, 4).withColumnRenamed("tenant", "tenant_id")
+
+
 @R.add("""WITH c AS (SELECT user_id, event_id, ts, event_type <> 'error' AS ok, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
 s AS (SELECT user_id, event_id, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS failures FROM c)
 SELECT user_id, max(failures)::BIGINT AS most_failures, count(*) FILTER (WHERE failures = 3) AS openings FROM s GROUP BY 1""")
