@@ -12,10 +12,12 @@ chained from the root, so its size doesn't grow with the depth of a page.
 The text is what the chosen container holds without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, as
 blocks joined by line breaks; white space inside a block becomes one space.
-Tags and roles of that kind always count as noise.  Class names and ids only
-weigh: a container that is named like noise is read all the same where it
-holds far more running text than all that is outside such containers, and no
-article or main container is there (``readmitted``).
+Tags and roles of that kind always count as noise.  Class names and ids count
+for what groups others, never for words in a line, headings and paragraphs,
+and they only weigh: a container that is named like noise, or a form, is read
+all the same where it holds far more running text than all that is outside
+such containers, and no article or main container is there (``readmitted``).
+An article in several containers side by side is read from what holds them.
 
 Edge cases: null or empty html gives an empty text; html cut off in a tag or
 a character reference is read as far as it goes; pages may be nested to any
@@ -44,9 +46,11 @@ from quarryline.llm.common import STRING, attach, cut_lineage, record, row_of
 VOTE_UNITS = 1_000_000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = set("article body div main section td".split())
+CONTAINERS = set("article body div form main section td".split())
 #: Never part of the main text.
-DROPPED = set("aside button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
+DROPPED = set("aside button canvas dialog footer head iframe input menu nav noscript object script select style svg template textarea title".split())
+#: What groups others can be noise by its name; words in a line, headings and paragraphs can't.
+BY_NAME = set("address center details dir div dl fieldset figure form li ol section table tbody td tfoot th thead tr ul".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|comment\w*list|consent|cookies?|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|toolbar|widget\w*)(?:$|[-_ ])",
@@ -56,6 +60,8 @@ GOOD = re.compile(r"(?:^|[-_ ])(?:article\w*|body|content|entry|main|page|post|s
 COMMENTS = re.compile(r"(?:^|[-_ ])(?:comments?|comment\w*list|disqus|replies|respond)(?:$|[-_ ])", re.I)
 #: What a character in a container named like noise counts, with a name of main text beside it or without.
 NAMED_WEIGHT, NOISE_WEIGHT = 0.4, 0.1
+#: What text in containers inside counts, and the share of it that a second one has where the article is in several: then it counts whole.
+INSIDE, SECOND = 0.7, 0.2
 SPACE = re.compile(r"\s+")
 #: An opening tag of the left closes an open paragraph or item of its own kind.
 CLOSES_P = BLOCKS - {"body", "html", "option"}
@@ -72,14 +78,19 @@ SLICE = 64
 class Node:
     """An element.  ``weight`` is what its running text counts: 1, 0 for noise, a share for names like noise."""
 
-    __slots__ = ("tag", "names", "children", "parent", "depth", "weight", "noise", "path", "own", "inner")
+    __slots__ = ("tag", "names", "children", "parent", "depth", "weight", "noise", "path", "own", "inner", "most", "second")
 
     def __init__(self, tag: str, names: str, parent: Node | None, weight: float):
         self.tag, self.names, self.parent, self.weight = tag, names, parent, weight
         self.depth = parent.depth + 1 if parent else 0
         self.noise = weight < 1
         self.children: list[Node | str] = []
-        self.path = self.own = self.inner = 0
+        self.path = self.own = self.inner = self.most = self.second = 0
+
+    def branch(self, mass: int) -> None:
+        """The two largest masses of containers inside."""
+        if mass > self.second:
+            self.most, self.second = max(self.most, mass), min(self.most, mass)
 
 
 def name_weight(names: str) -> float:
@@ -111,7 +122,9 @@ class Tree(HTMLParser):
         names = " ".join(filter(None, (own.get("class"), own.get("id"))))
         wide = tag in ("html", "body", "main", "article")
         certain = tag in DROPPED or (tag == "header" and not self.open.get("article")) or (own.get("role") or "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
-        weight = 0.0 if certain else 1.0 if wide or not names else name_weight(names)
+        weight = 0.0 if certain else 1.0 if wide or not names or tag not in BY_NAME else name_weight(names)
+        if tag == "form":
+            weight = min(weight, NOISE_WEIGHT)  # some sites put the whole page into one
         node = Node(tag, own.get("class") or "", self.at, weight)
         self.at.children.append(node)
         if tag not in VOID:
@@ -209,12 +222,13 @@ def scored(root: Node) -> tuple[list[tuple[float, int, int, Node]], dict[int, li
     """Containers as (score, depth, path, node), best first, and all containers by path.
 
     A node's ``own`` counts the characters of its own blocks, ``inner`` those
-    of containers inside it, which count less; link texts count against it.
+    of containers inside it, which count less unless several of them hold the
+    text; link texts count against it.
     """
     order = list(walked(root))
     linked = {id(root)} if root.tag == "a" else set()
     for node in order:
-        node.own = node.inner = 0
+        node.own = node.inner = node.most = node.second = 0
         in_link = id(node) in linked
         for child in node.children:
             if isinstance(child, str):
@@ -226,14 +240,19 @@ def scored(root: Node) -> tuple[list[tuple[float, int, int, Node]], dict[int, li
     for node in reversed(order[1:]):  # the inside first
         if node.tag in CONTAINERS:
             node.parent.inner += node.own + node.inner
+            node.parent.branch(node.own + node.inner)
         else:
+            node.parent.branch(node.most)
+            node.parent.branch(node.second)
             node.parent.own += node.own
             node.parent.inner += node.inner
     found, by_path = [], {}
     for node in order:
         if node.tag in CONTAINERS:
-            weight = {"article": 2.0, "main": 1.6}.get(node.tag, 1.0) * (1.3 if GOOD.search(node.names) else 1.0) * (0.8 if node.tag == "body" else 1.0)
-            score = round((node.own + 0.7 * node.inner) * weight, 3)
+            weight = {"article": 2.0, "main": 1.6}.get(node.tag, 1.0) * (1.3 if GOOD.search(node.names) else 1.0)
+            several = node.second >= max(1, SECOND * (node.own + node.inner))
+            weight *= 0.8 if node.tag == "body" and not several else 1.0
+            score = round((node.own + (1.0 if several else INSIDE) * node.inner) * weight, 3)
             by_path.setdefault(node.path, []).append(node)
             if score > 0:
                 found.append((score, node.depth, node.path, node))

@@ -63,6 +63,47 @@ def test_names_weigh_and_tags_decide(page, text):
     assert H.extract(page)[0] == text
 
 
+HALF = "a sentence of the article. " * 9
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>The <span class="notice">word</span> matters.</p></article>', "The word matters."),
+        ('<article><p>The <mark class="social">word</mark> matters.</p></article>', "The word matters."),
+        ('<article><h2 id="related">Related work</h2><p>x</p><h2 id="comments">On comments</h2><p class="share">text</p></article>', "Related work\nx\nOn comments\ntext"),
+        ('<article><p>x</p><div class="share">no</div><ul class="related"><li>no</ul></article>', "x"),
+        (f'<body><form id="aspnetForm"><div><p>{HALF}</p><input value=no><select><option>no</select></div></form></body>', HALF.strip()),
+        (f'<body><form id="f"><nav>no</nav><article><p>{HALF}</p></article></form></body>', HALF.strip()),
+        (f"<body><div><p>{HALF}</p></div><form><p>Your name and mail please</p></form></body>", HALF.strip()),
+        (f"<body><main><p>short</p></main><form><p>{HALF}</p></form></body>", "short"),
+        (f"<body><div><div><p>{HALF}</p></div><div><p>{HALF}{HALF}</p></div></div><footer>no</footer></body>", f"{HALF.strip()}\n{(HALF + HALF).strip()}"),
+        (f"<body><div><p>{HALF}</p></div><div><p>{HALF[:80]}</p></div></body>", f"{HALF.strip()}\n{HALF[:80].strip()}"),
+        (f"<body><article><p>{HALF}</p></article><div><p>{HALF[:100]}</p></div></body>", HALF.strip()),
+        (f'<body><div><p>{HALF}</p></div><div><a href="/">{HALF}</a></div></body>', HALF.strip()),
+    ],
+)
+def test_names_of_small_parts_forms_and_siblings(page, text):
+    assert H.extract(page)[0] == text
+
+
+def by_text_share(page):
+    """Pages without an article: what isn't in a nav, aside, footer, form or script, by a plain search over blocks."""
+    body = re.sub(r"<(nav|aside|footer|header|form|script|style|head)\b.*?</\1>", "", page, flags=re.S)
+    return "\n".join(filter(None, (" ".join(html.unescape(re.sub(r"</?(?:b|i|a|em|span)\b[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|div|section|ul|li|body|html)\b[^>]*>", body))))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pages_without_an_article(seed):
+    import random
+
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(f"<span class='share'>w{rng.randrange(99)}</span>" if rng.random() < 0.1 else f"word{rng.randrange(999)}" for _ in range(rng.randrange(30, 60))) + "."
+    parts = "".join(rng.choice([f"<div class='c{i}'><p>{sentence()}</p><p>{sentence()}</p></div>", f"<section><h2 id='related'>Head {i}</h2><p class='social'>{sentence()}</p></section>"]) for i in range(rng.randrange(2, 4)))
+    page = f"<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav><aside>{sentence()}</aside><div id='w'>{parts}</div><form><p>Sign here</p></form><footer>f</footer></body></html>"
+    assert H.extract(page)[0] == by_text_share(page)
+
+
 def by_search(page):
     """The article by plain searches in the source: no tree, no scores, no votes."""
     found = re.search(r"<article\b[^>]*>(.*)</article>", page or "", re.S)
