@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import changes, concurrency, evaluation, gateway, governance, jobs, search
+from quarryline.operators import changes, concurrency, evaluation, gateway, governance, jobs, purge, search
 from quarryline.queries.common import CORPUS_SQL, DIMENSION, Registry, corpus, documents, events, lit_ts, table
 
 R = Registry()
@@ -76,6 +76,52 @@ def lost_payload_recovery(spark, sf_dir):
     return jobs.lost_payloads(rows, sources, "tenant-2").select("job_id", "document_id", "recoverable")
 
 
+@R.add(f"""WITH {JOBS_SQL}, sources AS (SELECT DISTINCT user_id::VARCHAR AS document_id FROM events WHERE user_id % 5 > 1),
+e AS (SELECT *, ['timeout', 'stage failed: missing_markdown', 'payload unavailable', NULL, 'missing_chunks in asset'][job_id % 5 + 1] AS last_error FROM jobs),
+back AS (
+  SELECT job_id, document_id FROM e WHERE tenant_id = 'tenant-2' AND status = 'dead_letter' AND document_id IN (SELECT document_id FROM sources)
+  AND (contains(last_error, 'payload unavailable') OR contains(last_error, 'missing_markdown') OR contains(last_error, 'missing_chunks'))),
+doomed AS (SELECT DISTINCT document_id FROM back),
+assets AS (SELECT DISTINCT user_id AS u, user_id::VARCHAR AS document_id FROM events)
+SELECT 'jobs queued again' AS what, count(*) AS n FROM e WHERE job_id IN (SELECT job_id FROM back)
+UNION ALL SELECT 'jobs dead', count(*) FROM e WHERE status = 'dead_letter' AND job_id NOT IN (SELECT job_id FROM back)
+UNION ALL SELECT 'assets', count(*) FROM assets WHERE document_id NOT IN (SELECT document_id FROM doomed)
+UNION ALL SELECT 'lineage', count(*) FROM assets WHERE document_id NOT IN (SELECT document_id FROM doomed) AND (u + 1)::VARCHAR NOT IN (SELECT document_id FROM doomed)""")
+def lost_payload_reset(spark, sf_dir):
+    """Documents with a lost payload cleared and queued again; a user is a document with one asset, which comes from the next user's."""
+    errors = F.array(F.lit("timeout"), F.lit("stage failed: missing_markdown"), F.lit("payload unavailable"), F.lit(None).cast("string"), F.lit("missing_chunks in asset"))
+    rows = job_rows(spark, sf_dir).withColumn("last_error", F.get(errors, (F.col("job_id") % 5).cast("int")))
+    sources = rows.where(F.col("document_id").cast("long") % 5 > 1).select("tenant_id", "document_id")
+    assets = events(spark, sf_dir).select("user_id").distinct().select(F.col("user_id").cast("string").alias("document_id"), F.col("user_id").cast("string").alias("asset_id"))
+    lineage = assets.select("asset_id", (F.col("asset_id").cast("long") + 1).cast("string").alias("parent_asset_id"))
+    tables = {"jobs": rows, "sources": sources, "assets": assets, "lineage": lineage, "states": assets.select("document_id"), "workflows": assets.select("document_id")}
+    after = purge.recover(tables, "tenant-2", lit_ts(NOW))
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    back = after["jobs"].where((F.col("status") == "queued") & (F.col("attempts") == 0) & (F.col("available_at") == lit_ts(NOW)))
+    out = count(back, "jobs queued again").unionByName(count(after["jobs"].where("status = 'dead_letter'"), "jobs dead"))
+    return out.unionByName(count(after["assets"], "assets")).unionByName(count(after["lineage"], "lineage"))
+
+
+@R.add("""WITH t AS (
+  SELECT 'activity' AS table_name, user_id % 11 = 3 AS gone FROM events
+  UNION ALL SELECT 'messages', conv_id % 11 = 3 FROM conversations
+  UNION ALL SELECT 'documents', doc_id % 11 = 3 FROM documents
+  UNION ALL SELECT 'vectors', vec_id % 11 = 3 OR vec_id % 1000 = 7 FROM embeddings)
+SELECT table_name, count(*) AS before, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE NOT gone) AS after, 0::BIGINT AS "left", true AS proved FROM t GROUP BY 1""")
+def purge_proof(spark, sf_dir):
+    """Every eleventh user's rows removed from four tables; documents, conversations and vectors have their owner's remainder."""
+    numbers = lambda name, column: table(spark, sf_dir, name).select(F.col(column).alias("id"))
+    of = lambda df: df.where("id % 11 = 3").distinct()
+    keys = {"users": of(numbers("events", "user_id")), "conversations": of(numbers("conversations", "conv_id")), "documents": of(numbers("documents", "doc_id")), "vectors": numbers("embeddings", "vec_id").where("id % 1000 = 7")}
+    tables = {
+        "activity": purge.Table(events(spark, sf_dir).select("event_id", "user_id"), [("users", ["user_id"])]),
+        "messages": purge.Table(table(spark, sf_dir, "conversations").select("conv_id", "turn"), [("conversations", ["conv_id"])]),
+        "documents": purge.Table(table(spark, sf_dir, "documents").select("doc_id"), [("documents", ["doc_id"])]),
+        "vectors": purge.Table(table(spark, sf_dir, "embeddings").select("vec_id", "label"), [("documents", ["vec_id"]), ("vectors", ["vec_id"])]),
+    }
+    return purge.purge(tables, keys)[1]
+
+
 ASSETS = [name for name, _ in jobs.STAGES]
 
 
