@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import changes, concurrency, evaluation, gateway, governance, jobs, purge, search
 from quarryline.queries.common import CORPUS_SQL, DIMENSION, Registry, corpus, documents, events, lit_ts, table
+from quarryline.sources import event_log
 
 R = Registry()
 
@@ -510,3 +511,42 @@ def readiness(spark, sf_dir):
     facts = count("events").crossJoin(count("documents")).crossJoin(count("embeddings"))  # one row each
     rules = {"events": F.col("events") > 0, "documents": F.col("documents") > 0, "vectors": F.col("embeddings") >= F.col("documents")}
     return evaluation.readiness(facts, rules)
+
+
+# --- typed event logs ----------------------------------------------------------------
+
+SYNC, CHUNKING, CHAT = (event_log.EVENT_TYPES[x].split() for x in ("sync", "chunking", "conversation"))
+FAULTS_SQL = f"""raw AS (
+  SELECT event_id, user_id, ['sync', 'chunking', 'conversation', 'nowhere'][event_id % 4 + 1] AS log,
+         CASE WHEN event_id % 13 = 0 THEN 'Mystery' WHEN event_id % 4 = 1 THEN {CHUNKING}[event_id // 4 % {len(CHUNKING)} + 1] WHEN event_id % 4 = 2 THEN {CHAT}[event_id // 4 % {len(CHAT)} + 1] ELSE {SYNC}[event_id // 4 % {len(SYNC)} + 1] END AS kind
+  FROM events),
+told AS (
+  SELECT *, CASE WHEN event_id % 17 = 0 THEN 'bad_json' WHEN log = 'nowhere' THEN 'unknown_log' WHEN kind = 'Mystery' THEN 'unknown_type' WHEN event_id % 19 = 0 THEN 'missing_tenant'
+                 WHEN event_id % 23 = 0 THEN 'missing_subject' WHEN event_id % 29 = 0 THEN 'bad_timestamp' END AS reason FROM raw)"""
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of four logs, one of them unknown; some broken in each way, every tenth delivered twice."""
+    n = F.col("event_id")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (F.floor(n / 4) % len(names)).cast("int"))
+    kind = F.when(n % 13 == 0, "Mystery").when(n % 4 == 1, pick(CHUNKING)).when(n % 4 == 2, pick(CHAT)).otherwise(pick(SYNC))
+    subject = F.when(n % 23 != 0, F.col("user_id").cast("string"))
+    stamp = F.when(n % 29 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    body = F.to_json(F.struct(kind.alias("event_type"), F.when(n % 19 != 0, F.concat(F.lit("tenant-"), (F.col("user_id") % 3).cast("string"))).alias("tenant_id"), *(subject.alias(c) for c in ("repository_id", "document_id", "conversation_id")), stamp.alias("timestamp")))
+    log = F.get(F.array(F.lit("sync"), F.lit("chunking"), F.lit("conversation"), F.lit("nowhere")), (n % 4).cast("int"))
+    rows = events(spark, sf_dir).select(log.alias("log"), n.cast("string").alias("event_id"), F.when(n % 17 == 0, F.left(body, F.length(body) - 1)).otherwise(body).alias("body"), F.col("ts").alias("received"))
+    return rows.unionByName(rows.where("event_id % 10 = 0").withColumn("received", F.col("received") + F.expr("INTERVAL 1 MINUTE")))
+
+
+@R.add(f"WITH {FAULTS_SQL} SELECT log, kind AS event_type, count(*) AS n, count(DISTINCT user_id) AS subjects FROM told WHERE reason IS NULL GROUP BY ALL")
+def typed_events(spark, sf_dir):
+    """Good events of each type, each delivery once."""
+    good = event_log.once(event_log.checked(raw_events(spark, sf_dir))).where("reason IS NULL")
+    return good.groupBy("log", "event_type").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
+
+
+@R.add(f"WITH {FAULTS_SQL} SELECT log, reason, count(*) AS n FROM told WHERE reason IS NOT NULL GROUP BY ALL")
+def event_rejects(spark, sf_dir):
+    """What the checks turned down, by reason."""
+    bad = event_log.once(event_log.checked(raw_events(spark, sf_dir))).where("reason IS NOT NULL")
+    return bad.groupBy("log", "reason").agg(F.count("*").alias("n"))
