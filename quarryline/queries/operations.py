@@ -107,7 +107,7 @@ def lost_payload_reset(spark, sf_dir):
   SELECT 'activity' AS table_name, user_id % 11 = 3 AS gone FROM events
   UNION ALL SELECT 'messages', conv_id % 11 = 3 FROM conversations
   UNION ALL SELECT 'documents', doc_id % 11 = 3 FROM documents
-  UNION ALL SELECT 'vectors', vec_id % 11 = 3 OR vec_id % 1000 = 7 FROM embeddings)
+  UNION ALL SELECT 'vectors', (vec_id % 11 = 3 AND vec_id IN (SELECT doc_id FROM documents)) OR vec_id % 1000 = 7 FROM embeddings)
 SELECT table_name, count(*) AS before, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE NOT gone) AS after, 0::BIGINT AS "left", true AS proved FROM t GROUP BY 1""")
 def purge_proof(spark, sf_dir):
     """Every eleventh user's rows removed from four tables; documents, conversations and vectors have their owner's remainder."""

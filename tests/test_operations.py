@@ -213,4 +213,4 @@ def test_catalog_names_agree():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
     if importlib.util.find_spec("corpus_pipeline"):
-        assert "pipeline" in queries and sum(n.startswith("op") for n in queries) == 10
+        assert "pipeline" in queries and sum(n.startswith("op") for n in queries) == 13
