@@ -1,6 +1,10 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The search is exact: a prefix-filtered join.  All shingles have one global
+A first search is given by the caller: from fingerprints of the sets, pairs
+that may be similar (``simhash``).  Those that whole sets confirm are links,
+and texts in one component by them are offered to each other no more.
+
+The search for the rest is exact: a prefix-filtered join.  All shingles have one global
 order.  Two sets of similarity 0.8 share at least ``alpha(n)`` shingles for
 either size n, so they share ``l`` or more among the first
 n - alpha(n) + l of each; ``l`` grows with n, so that one common passage makes
@@ -159,16 +163,21 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-@F.pandas_udf(record(node=LONG, counted=LONGS))
-def marks(texts: pd.Series) -> pd.DataFrame:
-    """A text's node, and for one node of COUNTED half as many shingles again as its first ones by hash."""
-    nodes, counted = [], []
-    for text in texts:
-        grams = shingle_set(text)
-        nodes.append(node_of(grams))
-        most = 0 if nodes[-1] % COUNTED else firsts_of(len(grams)) * 3 // 2 + 8
-        counted.append(grams[:most].view(np.int64).copy())
-    return pd.DataFrame({"node": nodes, "counted": counted})
+def marks(fingerprint: Callable[[np.ndarray], int]) -> Callable:
+    """A text's node, its set's fingerprint, and for one node of COUNTED half as many shingles again as its first ones by hash."""
+
+    @F.pandas_udf(record(node=LONG, print=LONG, counted=LONGS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        nodes, prints, counted = [], [], []
+        for text in texts:
+            grams = shingle_set(text)
+            nodes.append(node_of(grams))
+            prints.append(fingerprint(grams))
+            most = 0 if nodes[-1] % COUNTED else firsts_of(len(grams)) * 3 // 2 + 8
+            counted.append(grams[:most].view(np.int64).copy())
+        return pd.DataFrame({"node": nodes, "print": np.array(prints, np.uint64).view(np.int64), "counted": counted})
+
+    return run
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,15 +358,27 @@ def confirmed(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, repeated: D
     return cut_lineage(met.where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def similar(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes the links don't join."""
+    if links.isEmpty():
+        return pairs
+    member = cut_lineage(components(links))
+    for end in ("a", "b"):
+        pairs = pairs.join(member.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    return pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+
+
+def similar(texts: DataFrame, fingerprint: Callable[[np.ndarray], int], candidates: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (__a, __b, key, text): (node, first), the least key of every distinct set, links (a, b) of nodes, and all keys.
 
-    The links join exactly the sets of similarity 0.8 or more into components.
+    ``fingerprint`` is that of a set's hashes; ``candidates`` makes pairs
+    (a, b) that are tried first from rows (node, print).  The links join exactly the sets of similarity 0.8 or more into components.
     """
-    marked = cut_lineage(texts.select("key", marks(F.col("text")).alias("m")).select("key", "m.node", "m.counted"))
-    firsts = cut_lineage(marked.groupBy("node").agg(F.min("key").alias("first")))
+    marked = cut_lineage(texts.select("key", marks(fingerprint)(F.col("text")).alias("m")).select("key", "m.node", "m.print", "m.counted"))
+    firsts = cut_lineage(marked.groupBy("node").agg(F.min("key").alias("first"), F.min("print").alias("print")))
     repeated = cut_lineage(marked.groupBy("key.__a", "key.__b").agg(F.count("*").alias("n")).where("n > 1").select("__a", "__b"))
     repeated = None if repeated.isEmpty() else repeated
+    links = confirmed(cut_lineage(candidates(firsts.select("node", "print")).distinct()), firsts, texts, repeated)
     counts = marked.select(F.explode("counted").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(COUNTED * F.col("n") > LONG_POSTING)
     common = counts.orderBy(F.desc("n"), "gram").limit(MOST_LAST).toPandas()
     last, n = common["gram"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)
@@ -370,7 +391,8 @@ def similar(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b")
     long = cut_lineage(met.where("b IS NULL").select("gram", F.col("a").alias("node")).join(signed.select("node", "n", "bits").dropDuplicates(["node"]), "node"))
     led = searched(long.withColumn("component", F.col("node")), by_leaders(LEADERS))
-    links = confirmed(cut_lineage(pairs.unionByName(led).distinct()), firsts, texts, repeated)
+    left = cut_lineage(apart(pairs.unionByName(led).distinct(), links))
+    links = links.unionByName(confirmed(left, firsts, texts, repeated))
     keys = marked.select("key")
     if long.isEmpty():
         return firsts, links, keys

@@ -57,6 +57,13 @@ MOST_BROADCAST, NAME_BYTES = 64 << 20, 40
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     words = (text or "").encode().lower().split()
     if not words:
@@ -69,9 +76,7 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
         starts = np.concatenate(([0], ends[:-1]))
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 @F.pandas_udf(LONG)
@@ -175,31 +180,35 @@ class Forest:
             queries, at = queries[which[follow]], self.children[slot[follow]]
 
 
-def roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after joining the sets of a[i] and b[i]; a label is the set's least index."""
+def roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after joining the sets of a[i] and b[i], and the i that joined two; a label is the set's least index."""
+    index, joined = np.arange(len(a)), []
     while True:
-        x, y = label[a], label[b]
+        x, y = label[a[index]], label[b[index]]
         differ = x != y
         if not differ.any():
-            return label
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            return label, np.concatenate([index[:0], *joined])
+        index, high, low = index[differ], np.maximum(x, y)[differ], np.minimum(x, y)[differ]
+        np.minimum.at(label, high, low)
+        hooks = np.flatnonzero(label[high] == low)
+        joined.append(index[hooks[np.unique(high[hooks], return_index=True)[1]]])  # a set is joined to a lesser one once
         while (label[label] != label).any():
             label = label[label]
 
 
 def spanning_forest(shard: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least node of its set in the shard)."""
+    """Links of nodes within the radius, as (later, earlier): as few as join each set of the shard."""
     forest, label = Forest(shard, node), np.arange(len(node))
     size = np.bincount(forest.root, minlength=len(node))[forest.root]
-    done = 0
+    done, later, earlier = 0, [node[:0]], [node[:0]]
     while done < len(node):  # as many queries as may visit VISITS nodes
         upto = max(done + 1, int(np.searchsorted(np.cumsum(size[done:]), VISITS)) + done)
         for a, b in forest.search(np.arange(done, upto), radius):
-            label = roots(label, a, b)
+            label, joined = roots(label, a, b)
+            later.append(node[np.maximum(a, b)[joined]])
+            earlier.append(node[np.minimum(a, b)[joined]])
         done = upto
-    linked = np.flatnonzero(label != np.arange(len(node)))
-    return node[linked], node[label[linked]]
+    return np.concatenate(later), np.concatenate(earlier)
 
 
 def link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +239,7 @@ def link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join exactly the nodes within RADIUS bits into sets."""
+    """Links (a, b) of nodes within RADIUS bits, which join all such nodes into sets."""
     sharded = shards(nodes).select(F.concat(F.lit("1"), "shard.path").cast("int").alias("path"), F.col("shard.value").alias("value"), "node")
     dealt = sharded.repartition("path", "value").sortWithinPartitions("path", "value", "node")
     return dealt.mapInArrow(link_shards, "a long, b long").distinct()
@@ -250,12 +259,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return marked.join(named, "node").select("doc_id", as_hex(F.col("node")).alias("fingerprint"), "component_id")
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """From distinct (node, print): pairs (a, b) of nodes whose fingerprints are equal or within RADIUS bits.
+
+    The pairs join all such nodes into sets, and are as few as each shard needs for that.
+    """
+    firsts = cut_lineage(nodes.groupBy("print").agg(F.min("node").alias("first")))
+    same = nodes.join(firsts, "print").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    end = lambda link, name: firsts.select(F.col("print").alias(link), F.col("first").alias(name))
+    near = near_links(firsts.select(F.col("print").alias("node"))).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    return same.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each near-copy group: the one of least id (null last).
 
     Groups are the connected components of the texts whose sets of five-word
-    shingles have a similarity of 0.8 or more (``shingles``), and not of the
-    fingerprints.  Rows are named by two hashes over all their columns.  Names
+    shingles have a similarity of 0.8 or more.  Links are searched first by the
+    SimHash of a text's set, through BK-trees, and confirmed on whole sets; an
+    exact join (``shingles``) adds those between texts that are then still
+    apart, as similar texts may differ in more than RADIUS bits.  Rows are named by two hashes over all their columns.  Names
     and nodes settle which rows stay.  The names of rows that go are broadcast
     if they have at most ``MOST_BROADCAST`` bytes; beyond, texts are shuffled to
     be joined with the names that stay.  Of exactly repeated rows, which share
@@ -266,7 +289,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     own = lambda name: F.col("row").getField(name)
     key = F.struct(own(doc_id).isNull().alias("no"), own(doc_id).alias("id"), "__a", "__b")
     texts = named.select("__a", "__b", key.alias("key"), own(text).alias("text"))
-    firsts, links, keys = shingles.similar(texts)
+    firsts, links, keys = shingles.similar(texts, majority, candidates)
     member = cut_lineage(components(links))
     grouped = firsts.join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
     chosen = grouped.select("first.__a", "first.__b", F.lit(True).alias("chosen"))

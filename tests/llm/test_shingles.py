@@ -4,7 +4,7 @@ import re
 import pytest
 
 from quarryline.llm import shingles, simhash
-from tests.llm.test_simhash import fingerprint
+from tests.llm.test_simhash import fingerprint, groups
 
 
 def grams(text):
@@ -124,3 +124,72 @@ def test_first_shingles_of_similar_sets_meet():
         if similarity(one, two) >= 0.8:
             first = [set(sorted(s)[: shingles.firsts_of(len(s))]) for s in (one, two)]
             assert len(first[0] & first[1]) >= shingles.shared(min(len(one), len(two)))
+
+
+def close_copies():
+    """Long texts with copies that end otherwise, of which fingerprints say it, and others that don't resemble them."""
+    rng = random.Random(9)
+    bases = [" ".join(rng.choices([f"w{k}" for k in range(5000)], k=3000)) for _ in range(6)]
+    texts = [f"{base} end{k}" if k else base for base in bases for k in range(4)]
+    texts += [" ".join(rng.choices(["a", "b", "c"], k=rng.randrange(1, 9))) for _ in range(30)] + ["", None, bases[0].upper()]
+    return list(enumerate(texts))
+
+
+def pair_prints(texts):
+    """SimHashes of the sets, bit by bit."""
+    hashes = [shingles.shingle_set(t).tolist() for t in texts]
+    return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) for own in hashes]
+
+
+def test_fingerprints_and_bk_trees_link_copies_without_the_join(spark, monkeypatch):
+    """What the first search of near-dedup links by itself, the join finding nothing."""
+
+    def nothing(long_posting):
+        def run(batches):
+            for _ in batches:
+                pass
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(shingles, "meet", nothing)
+    rows = close_copies()
+    prints, sets = pair_prints([t for _, t in rows]), [grams(t) for _, t in rows]
+    near = {(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    assert sum(similarity(sets[i], sets[j]) >= 0.8 for i, j in near if sets[i] != sets[j]) >= 12
+    found = kept(spark, rows)
+    assert found == [min(c) for c in components_of(len(rows), [(i, j) for i, j in near if similarity(sets[i], sets[j]) >= 0.8])]
+
+
+def components_of(n, links):
+    label = list(range(n))
+    for i, j in links:
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return [[i for i in range(n) if label[i] == x] for x in sorted(set(label))]
+
+
+def test_the_join_is_offered_no_pair_that_fingerprints_settled(spark, monkeypatch):
+    rows, offered = close_copies(), []
+
+    def apart(pairs, links):
+        left = original(pairs, links)
+        offered.append((links.count(), pairs.count(), left.count()))
+        return left
+
+    original = shingles.apart
+    monkeypatch.setattr(shingles, "apart", apart)
+    assert kept(spark, rows) == kept_ids(rows)
+    (links, pairs, left), = offered
+    assert links >= 12 and left < pairs
+
+
+def test_candidates_join_all_texts_within_two_bits(spark):
+    rng = random.Random(1)
+    centres = [rng.getrandbits(64) for _ in range(20)]
+    prints = [rng.choice(centres) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)] + centres
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, print long")
+    links = [tuple(r) for r in simhash.candidates(nodes).collect()]
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 2 for a, b in links)
+    label = groups(prints)
+    assert components_of(len(prints), links) == [[i for i in range(len(prints)) if label[i] == x] for x in sorted(set(label))]
