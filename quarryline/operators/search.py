@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import vectors as V
 from quarryline.functions.text import is_blank
+from quarryline.operators.nearest import nearest
 from quarryline.session import settle
 
 #: Clearances from least to most restrictive.  Retrieval contracts
@@ -30,6 +31,8 @@ ATTRIBUTES = ["classification_clearance", "section_id", "language", "repository_
 #: A batch of more queries than this isn't broadcast.
 MOST_BROADCAST_QUERIES = 20_000
 MOST_BROADCAST_BYTES = 64 << 20
+#: Rows that other rows look up by an equal key, one for each at most, are bounded by their bytes.
+MOST_BROADCAST_KEYS = 1_000_000
 
 CANDIDATE = ["query_id", "engine", "document_id", "chunk_id", "source_path", "section_title", "content", "score", "rank"]
 
@@ -147,22 +150,63 @@ def _similarity(metric: str, size: int | None) -> Column:
     return V.cosine(F.col("vector"), F.col("q_vector"), F.col("norm"), F.col("q_norm"), size)
 
 
+def parts_of(queries: DataFrame, most: int = MOST_BROADCAST_QUERIES, most_bytes: int = MOST_BROADCAST_BYTES) -> list[DataFrame]:
+    """Queries in parts of at most about ``most`` rows and ``most_bytes``, by a hash of their id."""
+    seen = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(queries)), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-seen["n"] // most), -(-seen["bytes"] // most_bytes))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def levelled(queries: DataFrame, *columns: str) -> DataFrame:
+    """What ``nearest`` wants of queries."""
+    rank = F.coalesce(clearance_rank(F.coalesce("q_clearance", F.lit("public"))), F.lit(-1)).cast("int")
+    return queries.select("query_id", *columns, rank.alias("q_level"), F.coalesce("q_tenant", F.lit("")).alias("q_tenant"), V.doubles(F.col("q_vector")).alias("vector"))
+
+
+def comparable(rows: DataFrame, *columns: str) -> DataFrame:
+    """What ``nearest`` wants of rows; those of an unknown level are seen by nobody."""
+    level = F.coalesce(clearance_rank(F.col("classification_clearance")), F.lit(len(CLEARANCES))).cast("int")
+    tenant = F.col("tenant_id") if "tenant_id" in rows.columns else F.lit(None).cast("string").alias("tenant_id")
+    return rows.select("document_id", "chunk_id", tenant, level.alias("level"), *columns, V.doubles(F.col("vector")).alias("vector"))
+
+
+def with_best(corpus: DataFrame, best: DataFrame) -> DataFrame:
+    """The corpus' columns of the best rows (query_id, document_id, chunk_id, score, rank); the corpus isn't shuffled while they are few."""
+    key = ["document_id", "chunk_id"]
+    contents = corpus.join(few(best.select(*key).distinct(), MOST_BROADCAST_KEYS), key, "left_semi").dropDuplicates(key)
+    return contents.join(few(best, MOST_BROADCAST_KEYS), key)
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, size: int | None = None, metric: str = "cosine", filters: str | None = None, most: int | None = None) -> DataFrame:
     """Best rows by similarity to each query's ``q_vector``; scores of 0 and less are dropped.
 
-    ``size`` is the vectors' length, if all share it.  Norms are computed once
-    per row, before rows and queries meet.
+    ``size`` is the vectors' length, if all share it.  Queries without filters
+    are compared by blocks (``nearest``), those with filters pair by pair.
+    Only what names a row and settles who sees it meets the queries; the other
+    columns join the best rows.
     """
-    rows = corpus.where("vector IS NOT NULL").withColumn("vector", V.doubles(F.col("vector")))
+    key = ["document_id", "chunk_id"]
+    rows = corpus.where("vector IS NOT NULL")
+    asked = queries.where("q_vector IS NOT NULL")
     if size:
-        rows = rows.where(F.size("vector") == size)
-    rows = rows.withColumn("norm", V.norm(F.col("vector")))
-    asked = queries.withColumn("q_vector", V.doubles(F.col("q_vector"))).withColumn("q_norm", V.norm(F.col("q_vector")))
-    joined = paired(rows, asked)
+        rows, asked = rows.where(F.size("vector") == size), asked.where(F.size("q_vector") == size)
+    own = ["__limit"] if isinstance(limit, Column) else []
+    asked = asked.withColumn("__limit", limit) if own else asked
+    free = asked.where(F.size(filters) == 0) if filters else asked
+    cut = F.col("__limit") if own else limit
+    k = most if own else limit
+    if k is None:
+        raise ValueError("a limit by query needs its greatest value")
+    scored = nearest(comparable(rows), parts_of(levelled(free, *own)), k, metric, ["query_id", *own])
     if filters:
-        joined = joined.where(matches(corpus, F.col(filters)))
-    scored = joined.withColumn("score", _similarity(metric, size)).where("score > 0")
-    return top(scored, limit, most).withColumn("engine", F.lit("vector"))
+        light = rows.select(*(c for c in corpus.columns if c in (*key, "tenant_id", "classification_clearance", "metadata", "vector", *ATTRIBUTES)))
+        light = light.withColumn("vector", V.doubles(F.col("vector"))).withColumn("norm", V.norm(F.col("vector")))
+        narrow = asked.where(F.size(filters) > 0).select("query_id", *own, filters, "q_clearance", "q_tenant", V.doubles(F.col("q_vector")).alias("q_vector"))
+        joined = paired(light, narrow.withColumn("q_norm", V.norm(F.col("q_vector")))).where(matches(light, F.col(filters)))
+        hits = joined.withColumn("score", _similarity(metric, size)).where("score > 0")
+        scored = scored.unionByName(hits.select("query_id", *own, *key, "score"))
+    best = settle(top(scored, cut, most).select("query_id", *key, "score", "rank"))  # at most the limit for each query
+    return with_best(corpus, best).withColumn("engine", F.lit("vector"))
 
 
 def best_vectors(corpus: DataFrame, vector: list[float], limit: int = 10) -> DataFrame:
