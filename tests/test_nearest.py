@@ -76,3 +76,16 @@ def test_odd_vectors(spark):
     assert got == [(1, "inf", 1.0), (1, "nan", 1.0), (1, "one", 1.0)]
     got = [(r["document_id"], round(r["score"], 6)) for r in search.vector_search(corpus, asked, 10, 2, "dot").orderBy("rank").collect()]
     assert got == [("nan", 1.0), ("inf", 1.0), ("huge", 1.0), ("one", 1.0), ("tiny", 0.0)]
+
+
+def test_distances_to_the_last_digit(spark):
+    agrees(spark, "euclidean")
+
+
+def test_close_rows_of_equal_score_go_by_document(spark):
+    """Distances that differ by less than the block's product can tell."""
+    rows = [(f"d{i}", "c", "x", "t", "public", [1.0 + i * 1e-13, 1.0]) for i in range(40)] + [("a", "c", "x", "t", "public", [1.0, 1.0])]
+    asked = spark.createDataFrame([(1, [1.0, 1.0], "public", "")], ASKED)
+    found = search.vector_search(spark.createDataFrame(rows, ROWS), asked, 4, 2, "euclidean").orderBy("rank").collect()
+    want = sorted((-score("euclidean", r[5], [1.0, 1.0]), r[0]) for r in rows)[:4]
+    assert [(-r["score"], r["document_id"]) for r in found] == want
