@@ -1,17 +1,20 @@
 """Block-wise nearest rows against a plain loop: order, ties, odd numbers, and how many rows leave a task."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline import catalog
 from quarryline.operators import search
 from quarryline.operators.nearest import nearest
 
 ROWS = "document_id string, chunk_id string, content string, tenant_id string, classification_clearance string, vector array<double>"
 ASKED = "query_id int, q_vector array<double>, q_clearance string, q_tenant string"
 SIZE = 6
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def total(xs):
@@ -89,3 +92,10 @@ def test_close_rows_of_equal_score_go_by_document(spark):
     found = search.vector_search(spark.createDataFrame(rows, ROWS), asked, 4, 2, "euclidean").orderBy("rank").collect()
     want = sorted((-score("euclidean", r[5], [1.0, 1.0]), r[0]) for r in rows)[:4]
     assert [(-r["score"], r["document_id"]) for r in found] == want
+
+
+@pytest.mark.parametrize("name", ["eval_metrics", "eval_report"])
+def test_evaluation_pairs_no_vectors(spark, name):
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no test tables")
+    assert "q_vector" not in catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().toString()
