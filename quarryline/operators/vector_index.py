@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.functions import vectors as V
-from quarryline.operators.search import clearance_rank, few, top, visible_to_queries
+from quarryline.operators.nearest import nearest
+from quarryline.operators.search import clearance_rank, comparable, few, levelled, parts_of, top, visible_to_queries
+from quarryline.session import settle
 
 SAMPLE_ROWS = 20_000
 #: Rounds of fitting, and the share of nearest neighbours that probed lists should hold.
@@ -110,13 +112,13 @@ def visible_lists(index: DataFrame, queries: DataFrame) -> DataFrame:
     return held.select(F.col("tenant_id").alias("own_tenant"), F.col("clearance").alias("own_clearance"), F.col("held.list").alias("lists"), F.col("held.n").alias("rows"))
 
 
-def probed(index: DataFrame, queries: DataFrame, centroids: Centroids, size: int, probes: int | None = None) -> DataFrame:
-    """Queries with each ``list`` that they read: the nearest with rows for them, until these are as many as in ``probes`` lists."""
+def probed_lists(index: DataFrame, queries: DataFrame, centroids: Centroids, size: int, probes: int | None = None) -> DataFrame:
+    """Queries with the ``lists`` that they read: the nearest with rows for them, until these are as many as in ``probes`` lists."""
     wanted = (probes or centroids.probes) * index.count() / max(1, len(centroids.matrix))
     shared = queries.sparkSession.sparkContext.broadcast(centroids)
 
     @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series, lists: pd.Series, rows: pd.Series) -> pd.Series:
+    def nearest_lists(vectors: pd.Series, lists: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
         for order, own, n in zip(shared.value.nearest(np.array(vectors.to_list(), np.float64).reshape(-1, size)), lists, rows, strict=True):
             held = np.zeros(len(order))
@@ -128,8 +130,13 @@ def probed(index: DataFrame, queries: DataFrame, centroids: Centroids, size: int
 
     usable = queries.where((F.size("q_vector") == size) & F.exists("q_vector", lambda x: x != 0))
     same = (F.coalesce("q_tenant", F.lit("")) == F.col("own_tenant")) & (F.coalesce("q_clearance", F.lit("public")) == F.col("own_clearance"))
-    joined = usable.join(visible_lists(index, usable), same)
-    return joined.withColumn("list", F.explode(nearest("q_vector", "lists", "rows"))).drop("own_tenant", "own_clearance", "lists", "rows")
+    joined = usable.join(visible_lists(index, usable), same).withColumnsRenamed({"lists": "own_lists", "rows": "own_rows"})
+    return joined.withColumn("lists", nearest_lists("q_vector", "own_lists", "own_rows")).drop("own_tenant", "own_clearance", "own_lists", "own_rows")
+
+
+def probed(index: DataFrame, queries: DataFrame, centroids: Centroids, size: int, probes: int | None = None) -> DataFrame:
+    """Queries with each ``list`` that they read."""
+    return probed_lists(index, queries, centroids, size, probes).withColumn("list", F.explode("lists")).drop("lists")
 
 
 def pairs(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -137,15 +144,27 @@ def pairs(index: DataFrame, asked: DataFrame) -> DataFrame:
     return index.join(few(asked), "list").where(visible_to_queries(index))
 
 
+def pair_count(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """How many rows queries may see (``n``), in the lists that they read if ``asked`` has them: from numbers of rows, without the pairs."""
+    by = ["list"] if "list" in asked.columns else []
+    rows = index.groupBy(*by, "tenant_id", "classification_clearance").agg(F.count("*").alias("rows"))
+    queries = asked.groupBy(*by, "q_tenant", "q_clearance").agg(F.count("*").alias("queries"))
+    joined = rows.join(queries, by) if by else rows.join(few(queries))
+    seen = joined.where(visible_to_queries(rows))
+    return seen.agg(F.coalesce(F.sum(F.col("rows") * F.col("queries")), F.lit(0)).alias("n"))
+
+
 def search(index: DataFrame, queries: DataFrame, centroids: Centroids, size: int, k: int = 10, probes: int | None = None) -> DataFrame:
     """Like ``search.vector_search`` by cosine, over the probed lists only."""
     if not len(centroids.matrix):
         return top(index.join(queries, F.lit(False)).withColumn("score", F.lit(0.0)), k).withColumn("engine", F.lit("vector"))
-    rows = index.withColumn("vector", V.doubles(F.col("vector"))).withColumn("norm", V.norm(F.col("vector")))
-    asked = probed(index, queries, centroids, size, probes).withColumn("q_vector", V.doubles(F.col("q_vector"))).withColumn("q_norm", V.norm(F.col("q_vector")))
-    score = V.cosine(F.col("vector"), F.col("q_vector"), F.col("norm"), F.col("q_norm"), size)
-    scored = pairs(rows, asked).withColumn("score", score).where("score > 0")
-    return top(scored, k).withColumn("engine", F.lit("vector"))
+    key = ["document_id", "chunk_id"]
+    asked = settle(probed_lists(index, queries, centroids, size, probes))
+    read = asked.select(F.explode("lists").alias("list")).distinct()
+    rows = index.join(F.broadcast(read), "list", "left_semi")  # at most all lists
+    scored = nearest(comparable(rows, "list"), parts_of(levelled(asked, "lists")), k, "cosine", ["query_id"])
+    best = top(scored, k).select("query_id", *key, "score", "rank")
+    return index.dropDuplicates(key).join(best, key).withColumn("engine", F.lit("vector"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

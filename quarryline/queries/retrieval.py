@@ -68,7 +68,7 @@ def vector_topk_batch(spark, sf_dir):
 
 
 def inverted_file(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, vector_index.Centroids]:
-    rows = corpus(spark, sf_dir).where("vector IS NOT NULL")
+    rows = corpus(spark, sf_dir).where("vector IS NOT NULL").drop("content", "metadata")  # lists are for the search; contents join what it finds
     centroids = vector_index.fit(rows, DIMENSION)
     return vector_index.build(rows, new_folder(spark, "lists"), centroids, DIMENSION), centroids
 
@@ -86,8 +86,8 @@ def ivf_recall(spark, sf_dir):
     asked = vector_queries(spark, sf_dir)
     found = vector_index.search(index, asked, centroids, DIMENSION)
     each = vector_index.recall(found, search.vector_search(corpus(spark, sf_dir), asked, 10, DIMENSION))
-    scored = vector_index.pairs(index, vector_index.probed(index, asked, centroids, DIMENSION)).agg(F.count("*").alias("scored_rows"))
-    exact = index.join(search.few(asked), search.visible_to_queries(index)).agg(F.count("*").alias("exact_rows"))
+    scored = vector_index.pair_count(index, vector_index.probed(index, asked, centroids, DIMENSION)).withColumnRenamed("n", "scored_rows")
+    exact = vector_index.pair_count(index, asked).withColumnRenamed("n", "exact_rows")
     sums = each.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), F.sum("found").alias("found"))
     return sums.crossJoin(scored).crossJoin(exact).withColumn("recall", F.col("found") / F.col("wanted"))  # one row each
 

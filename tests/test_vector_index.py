@@ -103,3 +103,16 @@ def test_empty_and_unusable(spark, corpus, asked, built, tmp_path):
 def test_fitting_agrees_over_partitions(corpus):
     a, b = vector_index.fit(corpus, SIZE, sample_rows=300), vector_index.fit(corpus.repartition(7), SIZE, sample_rows=300)
     assert a.probes == b.probes and np.array_equal(a.matrix, b.matrix)
+
+
+def test_pairs_are_counted_from_numbers_of_rows(asked, built):
+    index, centroids, _ = built
+    lists = vector_index.probed(index, asked, centroids, SIZE)
+    assert vector_index.pair_count(index, lists).first()["n"] == vector_index.pairs(index, lists).count()
+    assert vector_index.pair_count(index, asked).first()["n"] == index.join(search.few(asked), search.visible_to_queries(index)).count()
+    assert vector_index.pair_count(index, asked.limit(0)).first()["n"] == 0
+
+
+def test_lists_meet_queries_by_blocks(asked, built):
+    index, centroids, _ = built
+    assert "q_norm" not in vector_index.search(index, asked, centroids, SIZE)._jdf.queryExecution().toString()
