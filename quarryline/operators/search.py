@@ -9,6 +9,7 @@ runs as one plan; results carry query_id and a rank from 0.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -237,47 +238,101 @@ def grams(word: Column) -> Column:
     return F.array_distinct(F.concat(*(F.when(n >= k, of(k)).otherwise(none) for k in range(1, GRAM + 1))))
 
 
-def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term) of every distinct word that holds a term, by a posting table of character grams.
+#: Words that are looked up in a broadcast table, and the rows of which they are taken.
+COMMON_WORDS, SAMPLED_ROWS = 100_000, 20_000
 
-    A word that holds a term holds all its grams, so the term is looked up by
-    the one with the shortest posting; ``contains`` settles the rest.
-    """
-    postings = words.select("word", F.explode(grams(F.col("word"))).alias("gram"))
-    sizes = postings.groupBy("gram").agg(F.count("*").alias("n"))
+
+def runs(content: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(content, F.lit(""))), F.lit(RUN), F.lit(0)))
+
+
+def common_words(corpus: DataFrame, most: int) -> DataFrame:
+    """Distinct words that are frequent in some rows of the corpus, at most ``most``; words that lack here only cost more later."""
+    n = corpus.count()
+    some = corpus.sample(min(1.0, SAMPLED_ROWS / max(1, n)), seed=7).select(F.explode(runs(F.col("content"))).alias("word"))
+    return some.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word")
+
+
+def rare_grams(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``terms`` (term) with the ``gram`` by which words look them up: of its longest ones that which fewest ``words`` hold."""
+    sizes = words.select(F.explode(grams(F.col("word"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     long = lambda x: F.length(x) == F.least(F.lit(GRAM), F.length("term"))
     own = terms.select("term", F.explode(F.filter(grams(F.col("term")), long)).alias("gram"))
-    chosen = own.join(sizes, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return postings.join(chosen, "gram").where(F.contains("word", "term")).select("word", "term")
+    chosen = own.join(sizes, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return terms.join(chosen, "term")
+
+
+def one_bit(bit: Column) -> Column:
+    """Of 64 bits that at ``bit`` modulo 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+
+
+def marks(rows: DataFrame, by: list[str], start: Column, times: Column) -> DataFrame:
+    """The ``times`` bits from ``start`` on of all rows of a key, as (``at``, ``mask``) of 64 bits each."""
+    bits = rows.select(*by, F.explode(F.sequence(start, start + times - 1)).alias("bit"))
+    return bits.groupBy(*by, F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(one_bit(F.col("bit"))).alias("mask"))
+
+
+def held_terms(corpus: DataFrame, light: list[str], spots: DataFrame, common: DataFrame) -> DataFrame:
+    """The ``light`` columns of rows with ``marks``, the bits of all terms (term, gram, at, mask) that their content holds.
+
+    A word that is among the common ones brings the bits of all terms that it
+    holds; another looks for terms by its grams, and ``contains`` settles the
+    rest.  Both look up broadcast tables, and rows are dealt with their words
+    before, so that what words bring is united without a shuffle.
+    """
+    key = ["document_id", "chunk_id"]
+    mark = F.struct("at", "mask")
+    postings = common.select("word", F.explode(grams(F.col("word"))).alias("gram"))
+    pairs = postings.join(F.broadcast(spots), "gram").where(F.contains("word", "term")).groupBy("word", "at").agg(F.bit_or("mask").alias("mask"))
+    none = F.array().cast("array<struct<at:int,mask:bigint>>")
+    known = settle(common.join(pairs.groupBy("word").agg(F.collect_list(mark).alias("marks")), "word", "left").select("word", F.coalesce("marks", none).alias("marks")))
+    words = corpus.select(*key, runs(F.col("content")).alias("runs")).repartition(*key).select(*key, F.explode("runs").alias("word")).join(F.broadcast(known), "word", "left")
+    looked = words.withColumn("gram", F.explode_outer(F.when(F.col("marks").isNull(), grams(F.col("word"))))).join(F.broadcast(spots), "gram", "left")
+    hits = looked.where(F.col("marks").isNotNull() | F.contains("word", "term"))
+    each = hits.select(*key, F.explode(F.coalesce("marks", F.array(mark))).alias("m")).select(*key, "m.at", "m.mask")
+    united = each.groupBy(*key, "at").agg(F.bit_or("mask").alias("mask")).groupBy(*key).agg(F.collect_list(mark).alias("marks"))
+    return corpus.select(*light).dropDuplicates(key).join(united, key)
 
 
 def keyword_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, filters: str | None = None, most: int | None = None) -> DataFrame:
     """Share of each query's ``terms`` (repeats count) that the lower-cased content holds; no terms find nothing.
 
-    Terms meet the distinct words of the corpus, words meet the rows that have
-    them, and terms the queries that ask for them: joins on equal keys only,
-    broadcast where a side is few and small.  (document_id, chunk_id) names a
-    row; rows that repeat it count as one.  Hits carry the columns that settle
-    visibility and filters; contents join the best rows only.
+    Terms are bits, as many as they stand times in a query.  Those of a row
+    are found once, and a pair's score is how many bits row and query share:
+    64 bits of rows meet those of queries on equal places, and a row's pairs
+    are summed where the row is.  Pairs aren't sorted: scores are few numbers,
+    so they are counted for each query first, and only pairs from the score up
+    that fills the limit are ordered.  (document_id, chunk_id) names a row;
+    rows that repeat it count as one.  Contents join the best rows only.
     """
-    asked = queries.where(F.size("terms") > 0)
     key = ["document_id", "chunk_id"]
     wanted = (*key, "tenant_id", "classification_clearance", *(("metadata", *ATTRIBUTES) if filters else ()))
     light = [c for c in corpus.columns if c in wanted]
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(RUN), F.lit(0)))
-    words = corpus.select(*light, F.explode(runs).alias("word"))
-    each = asked.select(*(c for c in asked.columns if c != "terms"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    times = each.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    each = each.dropDuplicates(["query_id", "term"]).join(times, ["query_id", "term"])
-    held = settle(words_with_terms(words.select("word").distinct(), each.select("term").distinct()))
-    found = words.join(few(held), "word").drop("word").dropDuplicates([*key, "term"])
-    hits = found.join(few(each), "term").where(visible_to_queries(corpus))
-    hits = hits.where(matches(corpus, F.col(filters))) if filters else hits
-    own = F.first(F.struct(*(c for c in asked.columns if c not in ("terms", "query_id")))).alias("own")
-    scored = hits.groupBy("query_id", *key).agg((F.sum("times") / F.first("n_terms")).alias("score"), own).select("query_id", *key, "score", "own.*")
-    best = settle(top(scored, limit, most).select("query_id", *key, "score", "rank"))  # at most the limit for each query
-    contents = corpus.join(few(best.select(*key).distinct()), key, "left_semi").dropDuplicates(key)
-    return contents.join(best, key).withColumn("engine", F.lit("keyword"))
+    asked = queries.where(F.size("terms") > 0).withColumn("__limit", limit if isinstance(limit, Column) else F.lit(limit))
+    times = settle(asked.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("times")))
+    # In one task, but these are the distinct terms of the queries only.
+    start = (F.sum("times").over(W.orderBy("term").rowsBetween(W.unboundedPreceding, 0)) - F.col("times")).cast("int")
+    common = settle(common_words(corpus, COMMON_WORDS))
+    numbered = settle(rare_grams(common, times.groupBy("term").agg(F.max("times").alias("most")).withColumnRenamed("most", "times").withColumn("start", start)))
+    rows = settle(held_terms(corpus, light, settle(marks(numbered, ["term", "gram"], F.col("start"), F.col("times"))), common))
+    own = marks(times.join(numbered.select("term", "start"), "term"), ["query_id"], F.col("start"), F.col("times")).withColumnRenamed("mask", "q_mask")
+    narrow = asked.select("query_id", "__limit", "q_clearance", "q_tenant", *([filters] if filters else []), F.size("terms").alias("n_terms"))
+    meets = visible_to_queries(corpus)
+    meets = meets & ((F.size(filters) == 0) | matches(corpus, F.col(filters))) if filters else meets
+    spread = rows.repartition(*key)
+    best = None
+    for part in parts_of(settle(narrow.join(own, "query_id")), MOST_BROADCAST_KEYS):
+        met = spread.select(*light, F.explode("marks").alias("m")).select(*light, "m.*").join(F.broadcast(part), "at").where(meets)
+        hits = met.groupBy(*key, "query_id", "__limit", "n_terms").agg(F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("q_mask")))).alias("held"))
+        counts = hits.groupBy("query_id", "__limit", "held").agg(F.count("*").alias("n")).where("held > 0")
+        above = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("held"))) - F.col("n")
+        least = counts.withColumn("above", above).where(F.col("above") < F.col("__limit")).groupBy("query_id").agg(F.min("held").alias("least"))
+        near = hits.join(few(settle(least), MOST_BROADCAST_KEYS), "query_id").where("held >= least")
+        scored = near.withColumn("score", F.col("held") / F.col("n_terms"))
+        one = settle(top(scored, F.col("__limit"), limit if isinstance(limit, int) else most).select("query_id", *key, "score", "rank"))  # at most the limit for each query
+        best = one if best is None else best.unionByName(one)
+    return with_best(corpus, best).withColumn("engine", F.lit("keyword"))
 
 
 def metadata_search(corpus: DataFrame, queries: DataFrame, limit: Column | int = 10, filters: str = "filters", numeric: bool = False, most: int | None = None) -> DataFrame:

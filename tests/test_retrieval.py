@@ -240,3 +240,18 @@ def test_refused_queries_and_plans(spark):
     assert plans[3]["engines"] == ["vector", "keyword"] and plans[3]["ranking_strategy"] == "hybrid" and plans[3]["candidate_count"] == 20
     assert plans[4]["engines"] == ["vector", "metadata"] and plans[4]["ranking_strategy"] == "metadata_weighted" and plans[4]["total_candidate_limit"] == 60
     assert understanding.parse_products("a=b; Big Cat = big-cat ;bad;=x") == {"a": "b", "big cat": "big-cat"}
+
+
+def test_bits_of_terms_by_common_words_and_by_grams(spark):
+    docs = [("d1", "c", "Alpha beta-x rare9 alpha"), ("d1", "c", "gamma"), ("d2", "c", "betaxy a"), ("d3", "c", None)]
+    corpus = spark.createDataFrame(docs, "document_id string, chunk_id string, content string")
+    terms = ["alpha", "lph", "beta", "a", "are9", "gamma", "none"]
+    for common in (["alpha", "betaxy"], []):
+        words = spark.createDataFrame([(w,) for w in common], "word string")
+        numbered = search.rare_grams(words, spark.createDataFrame([(t, 40, 40 * i) for i, t in enumerate(terms)], "term string, times int, start int"))
+        spots = search.marks(numbered, ["term", "gram"], F.col("start"), F.col("times"))
+        got = {}
+        for r in search.held_terms(corpus, ["document_id", "chunk_id"], spots, words).collect():
+            got[r["document_id"]] = {m["at"] * 64 + b for m in r["marks"] for b in range(64) if m["mask"] >> b & 1}
+        held = {"d1": ["alpha", "lph", "beta", "a", "are9", "gamma"], "d2": ["beta", "a"]}
+        assert got == {d: {40 * terms.index(t) + j for t in own for j in range(40)} for d, own in held.items()}
