@@ -2,7 +2,7 @@
 
 Edges say (asset_id, parent_asset_id).  Closures are found by doubling: from
 all ways of up to n steps those of up to 2n, so a chain of a thousand takes
-ten rounds, each a join on equal keys and a settled table.
+ten rounds, each a join on equal keys and a table of the pairs that are new.
 """
 
 from __future__ import annotations
@@ -11,31 +11,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators.evaluation import finding
-from quarryline.operators.search import CLEARANCES, clearance_rank
-from quarryline.session import settle
+from quarryline.operators.search import CLEARANCES, MOST_BROADCAST_KEYS, clearance_rank, few
+from quarryline.session import new_folder
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(asset_id, ancestor_id, steps): each ancestor once, by the fewest steps; an asset in a cycle is its own ancestor.
 
-    Edges with a null end are left out; repeated edges count once.  Hot
-    parents are rows of many assets, but each round joins ways to ways by the
-    asset in the middle, and Spark splits a middle that is hot on one side.
+    Edges with a null end are left out; repeated edges count once.  A shortest
+    way of more than n and up to 2n steps goes through the asset that it
+    reaches after n, so only pairs that are just n steps apart meet the others,
+    and not every asset in between.  Hot parents are rows of many assets, but
+    Spark splits a middle that is hot on one side.
     """
     ends = edges.where("asset_id IS NOT NULL AND parent_asset_id IS NOT NULL")
-    ways = settle(ends.select("asset_id", F.col("parent_asset_id").alias("ancestor_id")).distinct().withColumn("steps", F.lit(1).cast("long")))
-    size = ways.count()
-    while size:
+    first = ends.select("asset_id", F.col("parent_asset_id").alias("ancestor_id")).distinct().withColumn("steps", F.lit(1).cast("long"))
+    ways = kept(first)
+    n, last = 1, ways
+    while not last.where(F.col("steps") == n).isEmpty():
         onward = ways.select(F.col("asset_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("steps").alias("more"))
-        longer = ways.join(onward, "ancestor_id").select("asset_id", F.col("next").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
-        ways = settle(ways.unionByName(longer).groupBy("asset_id", "ancestor_id").agg(F.min("steps").alias("steps")))
-        before, size = size, ways.count()
-        # No new pair: all pairs of up to 2n steps are of up to n, and so are their fewest steps.
-        if size == before:
-            return ways
+        longer = last.where(F.col("steps") == n).join(onward, "ancestor_id").select("asset_id", F.col("next").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
+        shortest = longer.groupBy("asset_id", "ancestor_id").agg(F.min("steps").alias("steps"))
+        last = kept(shortest.join(ways.select("asset_id", "ancestor_id"), ["asset_id", "ancestor_id"], "left_anti"))
+        ways, n = ways.unionByName(last), 2 * n
     return ways
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table of columns in the shared folder: pairs are many, and packed they take a small part of a settled table's room."""
+    path = new_folder(df.sparkSession, "ways")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def findings(assets: DataFrame, edges: DataFrame, ways: DataFrame | None = None) -> DataFrame:
     """Broken lineage: (check, severity, subject).
 
@@ -45,12 +53,13 @@ def findings(assets: DataFrame, edges: DataFrame, ways: DataFrame | None = None)
     (warning).  ``unrooted``: a derived asset without an ancestor of a root type.
     """
     ways = closure(edges) if ways is None else ways
-    ids = assets.select(F.col("asset_id").alias("ancestor_id"), F.col("asset_type").alias("ancestor_type"))
-    joined = ways.join(ids, "ancestor_id", "left")
-    lost = joined.where("ancestor_type IS NULL").select("asset_id").distinct()
-    cyclic = ways.where("asset_id = ancestor_id").select("asset_id")
-    below = ways.join(cyclic.withColumnRenamed("asset_id", "ancestor_id"), "ancestor_id", "left_semi").select("asset_id").distinct().join(cyclic, "asset_id", "left_anti")
-    rooted = joined.where("ancestor_type = 'source'").select("asset_id").distinct()
+    # Every ancestor is the parent of an edge, so few assets are looked for among all pairs.
+    among = lambda some: ways.join(few(some.select(F.col("asset_id").alias("ancestor_id")).distinct(), MOST_BROADCAST_KEYS), "ancestor_id", "left_semi").select("asset_id").distinct()
+    parents = edges.where("asset_id IS NOT NULL AND parent_asset_id IS NOT NULL").select(F.col("parent_asset_id").alias("asset_id")).distinct()
+    lost = among(kept(parents.join(assets.where("asset_type IS NOT NULL"), "asset_id", "left_anti")))
+    cyclic = kept(ways.where("asset_id = ancestor_id").select("asset_id"))
+    below = among(cyclic).join(cyclic, "asset_id", "left_anti")
+    rooted = among(assets.where("asset_type = 'source'"))
     unrooted = assets.where("asset_type <> 'source'").join(rooted, "asset_id", "left_anti")
     out = finding(lost, "missing_parent", "asset_id").unionByName(finding(cyclic, "cyclic_lineage", "asset_id"))
     return out.unionByName(finding(below, "below_cycle", "asset_id", "warning")).unionByName(finding(unrooted, "unrooted", "asset_id"))

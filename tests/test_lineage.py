@@ -75,3 +75,13 @@ def test_clearances_of_all_ancestors(spark):
     want = {n: CLEARANCES[max([rank(n)] + [rank(p) for a, p in above if a == n])] for n in nodes}
     assert {r["asset_id"]: r["least_clearance"] for r in lineage.least_clearances(assets, ways).collect()} == want
     assert {r["subject"] for r in lineage.downgrades(assets, ways).collect()} == {n for n in nodes if CLEARANCES.index(want[n]) > rank(n)}
+
+
+def test_a_round_keeps_only_new_pairs(spark, monkeypatch):
+    """Pairs meet others only at their full length, and none is written twice."""
+    written = []
+    monkeypatch.setattr(lineage, "kept", lambda df, whole=lineage.kept: written.append(out := whole(df)) or out)
+    edges = [(str(i), str(i // 2)) for i in range(1, 300)] + [(str(i), str(i // 3)) for i in range(1, 300, 2)]
+    ways = lineage.closure(spark.createDataFrame(edges, EDGES))
+    assert told(ways) == walked(edges)
+    assert sum(w.count() for w in written) == ways.count()
