@@ -255,3 +255,10 @@ def test_bits_of_terms_by_common_words_and_by_grams(spark):
             got[r["document_id"]] = {m["at"] * 64 + b for m in r["marks"] for b in range(64) if m["mask"] >> b & 1}
         held = {"d1": ["alpha", "lph", "beta", "a", "are9", "gamma"], "d2": ["beta", "a"]}
         assert got == {d: {40 * terms.index(t) + j for t in own for j in range(40)} for d, own in held.items()}
+
+
+def test_fusion_gathers_no_content_that_nobody_asks_for(spark):
+    rows = spark.createDataFrame([candidate("vector", "d", "c", 0.4, 0), candidate("keyword", "d", "c", 0.9, 3), candidate("keyword", "e", "c", 0.9, 1)], CANDIDATE)
+    light = fusion.fuse(rows).select("query_id", "knowledge_id", "fusion_score", "best_score")
+    assert "content" not in light._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0].split("LocalRelation")[0]
+    assert sorted((r["knowledge_id"], round(r["fusion_score"], 6), r["best_score"]) for r in light.collect()) == [("ko-d-c", round(1 / 61 + 1 / 64, 6), 0.9), ("ko-e-c", round(1 / 62, 6), 0.9)]
